@@ -6,12 +6,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, sharding
+from . import fmindex, secrets, sharding, simhash
 from .common import documents_of
 
 SHARDS = [f"shard-{i:04d}" for i in range(256)]
 
 
+def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of every document."""
+    found = fmindex.find_leaks(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op8_simhash_anchor_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(documents_of(spark, sf_dir))
+    return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
+
+
 def op9_ownership_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans and owner-specific tokens of every document."""
     found = secrets.scan_secrets(documents_of(spark, sf_dir))
@@ -29,5 +45,5 @@ def op10_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs.select("doc_id"), SHARDS, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op9_ownership_secret_scan, op10_permutation_sharding)}
+QUERIES = {f.__name__: f for f in (op6_fm_index_decontamination, op8_simhash_anchor_covering, op9_ownership_secret_scan, op10_permutation_sharding)}
 ORACLE_SQL: dict[str, str] = {}
