@@ -6,12 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, secrets, sharding, simhash
+from . import fmindex, secrets, sharding, simhash, substring
 from .common import documents_of
 
 SHARDS = [f"shard-{i:04d}" for i in range(256)]
 
 
+def op4_rabin_karp_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without windows of smaller documents."""
+    found = substring.remove_repeats(documents_of(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark hits of every document."""
     found = fmindex.find_leaks(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -45,5 +51,5 @@ def op10_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs.select("doc_id"), SHARDS, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op6_fm_index_decontamination, op8_simhash_anchor_covering, op9_ownership_secret_scan, op10_permutation_sharding)}
+QUERIES = {f.__name__: f for f in (op4_rabin_karp_substrings, op6_fm_index_decontamination, op8_simhash_anchor_covering, op9_ownership_secret_scan, op10_permutation_sharding)}
 ORACLE_SQL: dict[str, str] = {}
