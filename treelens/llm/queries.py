@@ -6,12 +6,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, media, secrets, sharding, simhash, substring
+from . import fmindex, media, secrets, sharding, simhash, substring, toxicity
 from .common import documents_of
 
 SHARDS = [f"shard-{i:04d}" for i in range(256)]
 
 
+def op1_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity and verdict of every document."""
+    docs = documents_of(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model)
+
+
 def op3_gear_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a WAV in the chunk store, read back and verified."""
     return media.ChunkStore(documents_of(spark, sf_dir)).read()
@@ -56,5 +63,5 @@ def op10_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs.select("doc_id"), SHARDS, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_gear_chunked_media, op4_rabin_karp_substrings, op6_fm_index_decontamination, op8_simhash_anchor_covering, op9_ownership_secret_scan, op10_permutation_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_toxicity, op3_gear_chunked_media, op4_rabin_karp_substrings, op6_fm_index_decontamination, op8_simhash_anchor_covering, op9_ownership_secret_scan, op10_permutation_sharding)}
 ORACLE_SQL: dict[str, str] = {}
