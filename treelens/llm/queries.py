@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, media, secrets, sharding, simhash, substring, toxicity
+from . import bytecnn, fmindex, media, secrets, sharding, simhash, substring, toxicity
 from .common import documents_of
 
 SHARDS = [f"shard-{i:04d}" for i in range(256)]
@@ -40,6 +40,16 @@ def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned without the held-out rows."""
+    docs = documents_of(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(bytecnn.fold() != 2)
+    net = bytecnn.fit(docs, labels)
+    held_out = F.coalesce(bytecnn.fold() == 2, F.lit(False))
+    scored = bytecnn.score(docs, net)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_simhash_anchor_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(documents_of(spark, sf_dir))
@@ -63,5 +73,5 @@ def op10_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs.select("doc_id"), SHARDS, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_toxicity, op3_gear_chunked_media, op4_rabin_karp_substrings, op6_fm_index_decontamination, op8_simhash_anchor_covering, op9_ownership_secret_scan, op10_permutation_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_toxicity, op3_gear_chunked_media, op4_rabin_karp_substrings, op6_fm_index_decontamination, op7_byte_cnn_quality, op8_simhash_anchor_covering, op9_ownership_secret_scan, op10_permutation_sharding)}
 ORACLE_SQL: dict[str, str] = {}
