@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytecnn, fmindex, media, secrets, sharding, simhash, substring, toxicity
+from . import bytecnn, fmindex, media, packing, secrets, sharding, simhash, substring, toxicity
 from .common import documents_of
 
 SHARDS = [f"shard-{i:04d}" for i in range(256)]
@@ -30,6 +30,19 @@ def op4_rabin_karp_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def tokenizer_files() -> dict[str, str]:
+    """The vocabulary that op5 names, read from the installed package."""
+    import public_tokenizers as p
+
+    return {"path": p.path("byte_bpe_50k.json"), "ranks_path": p.path("byte_bpe_50k.tiktoken"), "pattern": p.PATTERN}
+
+
+def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed along the Hilbert curve."""
+    pieces = packing.pack(documents_of(spark, sf_dir), **tokenizer_files())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark hits of every document."""
     found = fmindex.find_leaks(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -73,5 +86,5 @@ def op10_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs.select("doc_id"), SHARDS, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_toxicity, op3_gear_chunked_media, op4_rabin_karp_substrings, op6_fm_index_decontamination, op7_byte_cnn_quality, op8_simhash_anchor_covering, op9_ownership_secret_scan, op10_permutation_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_toxicity, op3_gear_chunked_media, op4_rabin_karp_substrings, op5_hilbert_packing, op6_fm_index_decontamination, op7_byte_cnn_quality, op8_simhash_anchor_covering, op9_ownership_secret_scan, op10_permutation_sharding)}
 ORACLE_SQL: dict[str, str] = {}
