@@ -26,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, Words, coverage, materialize, merged, narrow, utf8, whole_documents
+from .common import ALNUM, LOWER, Words, coverage, free_name, materialize, merged, narrow, utf8, whole_documents
 
 WIDTH = 10
 SAMPLE = 8
@@ -323,6 +324,49 @@ def _merge_spans(spans):
     return F.aggregate(spans, F.array().cast(kind), step)
 
 
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs, all columns, with the removal spans cut out of the texts (`n_chars`
+    follows where it exists).  Documents that consist of nothing else go."""
+    at, chars = docs.columns.index(text), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
+    block = next(blocks)
+
+    def cut(batch, texts, found):
+        """batch without found[k] = (n_words, spans, byte_spans, items) of texts[k]."""
+        new = [remove_spans(t, f[2]) for t, f in zip(texts, found, strict=True)]
+        gone = [bool(len(f[1])) and sum(s["end"] - s["start"] for s in f[1]) == f[0] for f in found]
+        out = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+        if chars is not None:
+            old = out.column(chars).to_pylist()
+            sizes = [len(t) if len(f[1]) else n for n, t, f in zip(old, new, found, strict=True)]
+            out = out.set_column(chars, out.schema.field(chars), pa.array(sizes, out.schema.field(chars).type))
+        return out.filter(pa.array([not g for g in gone]))
+
+    if next(blocks, None) is None:
+        scan = _scan(Phrases(block, width), [], False)
+
+        def run(batches):
+            for batch in batches:
+                texts = batch.column(at).to_pylist()
+                hits = pd.concat(scan(iter([pd.DataFrame({"text": texts})])), ignore_index=True) if texts else pd.DataFrame(columns=["n_words", "spans", "byte_spans", "items"])
+                yield cut(batch, texts, list(hits[["n_words", "spans", "byte_spans", "items"]].itertuples(index=False, name=None)))
+
+        return docs.mapInArrow(run, docs.schema)
+    rid = free_name(docs, "rid")
+    rows = materialize(docs.withColumn(rid, F.monotonically_increasing_id()))
+    found = find_leaks(rows, benchmark, rid, text, item_id, item_text, width, block_bytes=block_bytes)
+    hits = found.where(F.size("spans") > 0).select(rid, F.struct("n_words", "spans", "byte_spans").alias("__found"))
+    width_ = len(docs.columns)
+
+    def apply(batches):
+        for batch in batches:
+            found = [(f["n_words"], f["spans"], f["byte_spans"]) if f else (0, [], []) for f in batch.column(width_).to_pylist()]
+            plain = pa.RecordBatch.from_arrays(batch.columns[:width_], names=batch.schema.names[:width_])
+            yield cut(plain, plain.column(at).to_pylist(), found)
+
+    return rows.join(hits, rid, "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__found").mapInArrow(apply, docs.schema)
+
+
 def remove_spans(text: str | None, byte_spans) -> str | None:
     """text without the given byte spans; what is left keeps its white space."""
     if text is None or byte_spans is None or not len(byte_spans):

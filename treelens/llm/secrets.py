@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, materialize
+from .common import columns_of, free_name, materialize
 
 #: fixed values: the base kinds in their order, pattern, group of the value
 KINDS = (
@@ -153,3 +153,18 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
     rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text)))
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, state, step, rest))
+
+
+def redact_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS, mark: str = "[SECRET]") -> DataFrame:
+    """docs, all columns, with every span of scan_secrets replaced by mark
+    (`n_chars` follows where it exists)."""
+    rid = free_name(docs, "rid")
+    rows = materialize(docs.withColumn(rid, F.monotonically_increasing_id()))
+    found = scan_secrets(rows, rid, text, owner, repo, max_owners).where(F.size("spans") > 0).select(rid, F.col("spans").alias("__spans"))
+    joined = rows.join(found, rid, "left")
+    new = F.when(F.col("__spans").isNull(), F.col(f"`{text}`")).otherwise(redact(F.col(f"`{text}`"), F.col("__spans"), mark))
+    change = {text: new}
+    if "n_chars" in docs.columns and text != "n_chars":
+        kind = docs.schema["n_chars"].dataType
+        change["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length(new).cast(kind))
+    return joined.select(*(change[c].alias(c) if c in change else F.col(f"`{c}`") for c in docs.columns))

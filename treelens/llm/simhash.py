@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, narrow, partitions, utf8
+from .common import LOWER, free_name, materialize, narrow, partitions, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -229,3 +229,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, group: int = GROUP) -> DataFrame:
+    """docs, all columns, with one row of each component: that of the smallest
+    id (nulls last; of repeated ids one row)."""
+    rid = free_name(docs, "rid")
+    rows = materialize(docs.withColumn(rid, F.monotonically_increasing_id()))
+    own = F.col(f"`{id_col}`")
+    classes = near_duplicates(rows.select(rid, own.alias("__id"), F.col(f"`{text}`").alias("__text")), rid, "__text", ("__id",), threshold, group)
+    best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id"), F.col(rid)))
+    kept = classes.groupBy("component_id").agg(best.alias("best")).select(F.col(f"best.{rid}").alias(rid))
+    return rows.join(kept, rid, "left_semi").drop(rid)
