@@ -152,6 +152,13 @@ def _marks(cells: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(kept, columns=["pack", "bucket", "bits"])
 
 
+def _mark_buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = [f for f in frames if len(f)]
+    if held:
+        for _, cells in pd.concat(held, ignore_index=True).groupby("bucket", sort=False):
+            yield _marks(cells)
+
+
 # --------------------------------------------------------------- 4. removal
 
 RESULT = "id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>"
@@ -200,6 +207,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     buckets = max(partitions(spark), -(-total // bucket))
     parts = packs.select("pack", "ids", "n_known", "blob")
     cells = parts.mapInPandas(_cells(width, buckets), "bucket long, pack long, hashes binary, base long, small boolean, offsets binary")
-    marks = cells.groupBy("bucket").applyInPandas(_marks, "pack long, bucket long, bits binary")
+    # a task for each bucket: a hash of the bucket would put several into some tasks
+    dealt = cells.repartitionById(buckets, F.col("bucket").cast("int"))
+    marks = dealt.mapInPandas(_mark_buckets, "pack long, bucket long, bits binary")
     found = parts.groupBy("pack").cogroup(marks.groupBy("pack")).applyInPandas(_remove(width, buckets), RESULT)
     return found.withColumnRenamed("id", id_col)
