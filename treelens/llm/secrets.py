@@ -161,7 +161,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", owner: str = "source", r
     rid = free_name(docs, "rid")
     rows = materialize(docs.withColumn(rid, F.monotonically_increasing_id()))
     found = scan_secrets(rows, rid, text, owner, repo, max_owners).where(F.size("spans") > 0).select(rid, F.col("spans").alias("__spans"))
-    joined = rows.join(found, rid, "left")
+    joined = rows.join(found.hint("merge"), rid, "left")
     new = F.when(F.col("__spans").isNull(), F.col(f"`{text}`")).otherwise(redact(F.col(f"`{text}`"), F.col("__spans"), mark))
     change = {text: new}
     if "n_chars" in docs.columns and text != "n_chars":

@@ -240,4 +240,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresh
     classes = near_duplicates(rows.select(rid, own.alias("__id"), F.col(f"`{text}`").alias("__text")), rid, "__text", ("__id",), threshold, group)
     best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id"), F.col(rid)))
     kept = classes.groupBy("component_id").agg(best.alias("best")).select(F.col(f"best.{rid}").alias(rid))
-    return rows.join(kept, rid, "left_semi").drop(rid)
+    return rows.join(kept.hint("merge"), rid, "left_semi").drop(rid)
