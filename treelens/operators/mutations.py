@@ -16,7 +16,10 @@ from pyspark.sql import types as T
 from ..schema import SPARK_TYPES, Schema
 from ..sources.graph import EdgePairs, Graph
 
-LOG = T._parse_datatype_string("seq long, op string, type string, id long, props map<string,string>, edge string, target long")
+LOG = T.StructType([
+    T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), T.StructField("type", T.StringType()), T.StructField("id", T.LongType()),
+    T.StructField("props", T.MapType(T.StringType(), T.StringType())), T.StructField("edge", T.StringType()), T.StructField("target", T.LongType()),
+])
 NODE_OPS, EDGE_OPS = ("insert", "update", "delete"), ("link", "unlink")
 
 
