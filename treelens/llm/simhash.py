@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, free_name, materialize, narrow, partitions, utf8
+from .common import LOWER, columns_of, free_name, map_texts, materialize, partitions, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -67,17 +67,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """docs with only id, the carried columns, and `fp`: the fingerprint as a signed long."""
-    kept = narrow(docs, id_col, *carry, text)
-    names = [id_col, *carry]
+    def make():
+        return lambda texts: [np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = frame[names].copy()
-            out["fp"] = np.array([fingerprint(t, shingle, seed) for t in frame[text]], np.uint64).view(np.int64)
-            yield out
-
-    schema = kept.drop(text).schema.add("fp", "long")
-    return kept.mapInPandas(run, schema)
+    columns_of(docs, id_col, *carry, text)
+    return map_texts(docs, text, [id_col, *carry], make, "fp long")
 
 
 # ------------------------------------------------------------------- anchors
@@ -113,18 +107,19 @@ def _replicate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def forest(left: np.ndarray, right: np.ndarray | None, threshold: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within left, or between left and right."""
-    nodes = left if right is None else np.concatenate((left, right))
+    nodes = (left if right is None else np.concatenate((left, right))).view(np.uint64)  # bits of signed numbers would be those of their absolute value
     columns = np.arange(len(nodes)) if right is None else np.arange(len(left), len(nodes))
     group = np.arange(len(nodes))
     links = []
     for i in range(len(left)):
         there = columns[i + 1 :] if right is None else columns
-        there = there[np.bitwise_count(nodes[there] ^ left[i]) <= threshold]
+        there = there[np.bitwise_count(nodes[there] ^ nodes[i]) <= threshold]
         for j in there[group[there] != group[i]].tolist():
             if group[j] != group[i]:
                 links.append((i, j))
                 group[group == group[j]] = group[i]
-    return [(int(nodes[i]), int(nodes[j])) for i, j in links]
+    signed = nodes.view(np.int64)
+    return [(int(signed[i]), int(signed[j])) for i, j in links]
 
 
 def _link(threshold: int):
