@@ -36,7 +36,7 @@ KINDS = (
 )
 MIN_VALUE = 8
 #: candidates of the method: long tokens with letters and digits
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 OWNED = len(KINDS)
 NAMES = [k for k, _, _ in KINDS] + ["owned"]
 MAX_OWNERS = 2
