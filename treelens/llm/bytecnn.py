@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, utf8
+from .common import columns_of, map_texts, narrow, utf8
 from .toxicity import sample_labels
 
 WIDTH, STRIDE, FILTERS = 8, 2, 24
@@ -228,13 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 def score(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: id and score, the probability of label 1."""
-    source = narrow(docs, id_col, text).toDF("id", "text")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "score": net.probability(batch_logits(net, frame["text"].tolist()))})
-
-    return source.mapInPandas(run, source.select("id").schema.add("score", "double")).withColumnRenamed("id", id_col)
+    columns_of(docs, id_col, text)
+    return map_texts(docs, text, [id_col], lambda: lambda texts: [net.probability(batch_logits(net, texts))], "score double")
 
 
 def fold(id_col: str = "doc_id") -> Column:

@@ -8,9 +8,10 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: bytes of text that a worker holds at once, unless one document is longer
 BATCH_BYTES = 4 << 20
@@ -104,6 +105,44 @@ def utf8(value) -> bytes:
     return value.encode("utf-8") if isinstance(value, str) else b""
 
 
+def slices(batch: pa.RecordBatch, at: int, limit: int = BATCH_BYTES):
+    """The batch in runs of rows of about `limit` bytes of the text column `at`."""
+    column = batch.column(at)
+    sizes = np.array([len(t) if t else 0 for t in column.to_pylist()], np.int64)
+    start, ends = 0, np.cumsum(sizes)
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def map_texts(df: DataFrame, text: str, carried: list[str], make, fields: str, limit: int = BATCH_BYTES) -> DataFrame:
+    """The carried columns as they are, and new columns made from the text.
+
+    make() is called once a task and returns f(list of texts) -> one sequence a
+    new column.  fields: their names and types.  The carried values stay Arrow
+    values: pandas would turn integers beside nulls into floats."""
+    names = [f"c{k}" for k in range(len(carried))]
+    kept = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carried, names, strict=True)), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = kept.drop("text").schema
+    for part in fields.split("; "):
+        name, kind = part.split(" ", 1)
+        schema = schema.add(name, df.sparkSession.range(0).selectExpr(f"cast(null as {kind}) as x").schema["x"].dataType)
+    width = len(names)
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields[width:]]
+
+    def run(batches):
+        f = make()
+        for batch in batches:
+            for piece in slices(batch, width, limit):
+                made = f(piece.column(width).to_pylist())
+                arrays = [*piece.columns[:width], *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    out = kept.mapInArrow(run, schema)
+    return out.toDF(*carried, *schema.names[width:])
+
+
 # ---------------------------------------------------------------- word scanning
 
 _U64 = np.uint64
@@ -220,10 +259,6 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
-def long_schema(*parts: str) -> T.StructType:
-    return T._parse_datatype_string(", ".join(parts))
-
-
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

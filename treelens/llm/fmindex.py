@@ -25,12 +25,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, Words, coverage, free_name, materialize, merged, narrow, utf8, whole_documents
+from .common import ALNUM, LOWER, Words, coverage, free_name, map_texts, materialize, merged, narrow, slices, utf8
 
 WIDTH = 10
 SAMPLE = 8
@@ -244,31 +243,27 @@ def shard_hits(texts: list[bytes], phrases: Phrases) -> tuple[Words, list[tuple[
     return words, [(start[a:b] - words.first[k], start[a:b] - words.first[k] + length[a:b], item[a:b]) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
 
 
-HIT_SCHEMA = "n_words long, spans array<struct<start:long,end:long>>, byte_spans array<struct<start:long,end:long>>, items array<string>"
+HITS = "n_words long; spans array<struct<start:long,end:long>>; byte_spans array<struct<start:long,end:long>>; items array<string>"
 
 
-def _scan(phrases: Phrases, carried: list[str], keep_text: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_documents(frames):
-            texts = [utf8(t) for t in frame["text"]]
-            different = {t: k for k, t in enumerate(dict.fromkeys(texts))}
-            words, hits = shard_hits(list(different), phrases)
-            answers = []
-            for k, (start, end, item) in enumerate(hits):
-                first, spans = words.first[k], merged(start, end)
-                offset = words.offset[k]
-                answers.append((
-                    int(words.first[k + 1] - first), [{"start": a, "end": b} for a, b in spans],
-                    [{"start": int(words.start[first + a] - offset), "end": int(words.end[first + b - 1] - offset)} for a, b in spans],
-                    sorted(phrases.ids[i] for i in np.unique(item)),
-                ))
-            rows = [answers[different[t]] for t in texts]
-            out = frame[carried + (["text"] if keep_text else [])].copy()
-            for k, name in enumerate(("n_words", "spans", "byte_spans", "items")):
-                out[name] = pd.Series([r[k] for r in rows], index=out.index, dtype="int64" if not k else "object")
-            yield out
+def _scan(phrases: Phrases):
+    """f(texts) -> the columns of HITS; the texts are one shard."""
 
-    return run
+    def scan(texts: list) -> tuple[list, list, list, list]:
+        data = [utf8(t) for t in texts]
+        different = {t: k for k, t in enumerate(dict.fromkeys(data))}
+        words, hits = shard_hits(list(different), phrases)
+        answers = []
+        for k, (start, end, item) in enumerate(hits):
+            first, spans, offset = words.first[k], merged(start, end), words.offset[k]
+            answers.append((
+                int(words.first[k + 1] - first), [{"start": a, "end": b} for a, b in spans],
+                [{"start": int(words.start[first + a] - offset), "end": int(words.end[first + b - 1] - offset)} for a, b in spans],
+                sorted(phrases.ids[i] for i in np.unique(item)),
+            ))
+        return tuple([answers[different[t]][c] for t in data] for c in range(4))
+
+    return scan
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text: str, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
@@ -290,17 +285,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     spans, in words and in UTF-8 bytes of the text) and items (sorted ids)."""
     spark = docs.sparkSession
     source = narrow(docs, id_col, text).toDF("id", "text")
-    kind = source.schema["id"].dataType.simpleString()
+    scan = lambda frame, carried, block: map_texts(frame, "text", carried, lambda p=Phrases(block, width): _scan(p), HITS)
     blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
     parts, block, more = [], next(blocks), next(blocks, None)
     if more is None:
-        found = source.mapInPandas(_scan(Phrases(block, width), ["id"], keep_text), f"id {kind}, " + "text string, " * keep_text + HIT_SCHEMA)
+        found = scan(source, ["id", "text"] if keep_text else ["id"], block)
         return found.withColumnRenamed("id", id_col).withColumnRenamed("text", text)
     # several blocks: each searches all documents, and their hits meet by row
     source = materialize(source.withColumn("rid", F.monotonically_increasing_id()))
     while block is not None:
-        part = source.select("rid", "text").mapInPandas(_scan(Phrases(block, width), ["rid"], False), "rid long, " + HIT_SCHEMA)
-        parts.append(materialize(part))
+        parts.append(materialize(scan(source, ["rid"], block)))
         block, more = more, next(blocks, None)
     every = parts[0]
     for part in parts[1:]:
@@ -343,13 +337,13 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
         return out.filter(pa.array([not g for g in gone]))
 
     if next(blocks, None) is None:
-        scan = _scan(Phrases(block, width), [], False)
+        scan = _scan(Phrases(block, width))
 
         def run(batches):
             for batch in batches:
-                texts = batch.column(at).to_pylist()
-                hits = pd.concat(scan(iter([pd.DataFrame({"text": texts})])), ignore_index=True) if texts else pd.DataFrame(columns=["n_words", "spans", "byte_spans", "items"])
-                yield cut(batch, texts, list(hits[["n_words", "spans", "byte_spans", "items"]].itertuples(index=False, name=None)))
+                for piece in slices(batch, at):
+                    texts = piece.column(at).to_pylist()
+                    yield cut(piece, texts, list(zip(*scan(texts), strict=True)))
 
         return docs.mapInArrow(run, docs.schema)
     rid = free_name(docs, "rid")

@@ -172,6 +172,8 @@ def _names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 FIELDS = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")
 _FINAL = "id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
+_NUMBERS = ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes", "n_chunks", "pack", "k", "seq", "salts")
+_COLUMNS = ("id", *FIELDS, "pack", "k", "seq", "digest", "salts", "bytes")
 _PARTS = f"kind int, {_FINAL}, pack long, k long, seq long, digest binary, salts int, bytes binary"
 
 
@@ -212,16 +214,15 @@ def _read_packs(packs: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
                     pieces.append((row.pack, k, seq, None, None, blob[starts[c] : ends[c]], None))
                 else:
                     pieces.append((row.pack, k, seq, name(c), salts[c], None, None))
-    out = pd.concat([
-        pd.DataFrame(final, columns=["id", *FIELDS]).assign(kind=0),
-        pd.DataFrame(chunks, columns=["digest", "salts", "bytes"]).assign(kind=1),
-        pd.DataFrame(pieces, columns=["pack", "k", "seq", "digest", "salts", "bytes", "id"]).assign(kind=2),
-    ], ignore_index=True)
-    for c in ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes", "n_chunks", "pack", "k", "seq", "salts"):
-        out[c] = out[c].astype("Int64")
-    for c in ("id", "payload_sha256", "media_sha256", "feature", "digest", "bytes"):
-        out[c] = out[c].astype(object).where(out[c].notna(), None)
-    return out
+    parts = []
+    for kind, rows, names in ((0, final, ["id", *FIELDS]), (1, chunks, ["digest", "salts", "bytes"]), (2, pieces, ["pack", "k", "seq", "digest", "salts", "bytes", "id"])):
+        columns = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {}
+        whole = {}
+        for c in _COLUMNS:  # whole numbers beside nulls must stay whole
+            values = list(columns.get(c, [None] * len(rows)))
+            whole[c] = pd.array(values, dtype="Int64") if c in _NUMBERS else pd.Series(values, dtype=object)
+        parts.append(pd.DataFrame({"kind": np.full(len(rows), kind, np.int32), **whole}))
+    return pd.concat(parts, ignore_index=True)
 
 
 def _join_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -26,17 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, narrow, partitions, splitmix, whole_documents
+from .common import columns_of, map_texts, materialize, partitions, splitmix
 
 LENGTH = 2048
 END_ID = 1
 HASHED = 4096
 DIMS, BITS = 4, 8
 SEED = 5
+PIECE = ("start", "length", "doc_tokens", "sequence_id", "offset", "ids")
 
 
 # ------------------------------------------------------------------ tokenizer
@@ -137,21 +139,23 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 # ------------------------------------------------------------------- packing
 
 
-def _encode(paths: tuple, end_id: int, carried: list[str]):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _encoder(paths: tuple, end_id: int):
+    """Makes f(texts) -> ids (16 bits each where they fit), their number,
+    whether they are 32 bits wide, and the Hilbert key."""
+
+    def make():
         coder, table = tokenizer(*paths), projection()
-        for frame in whole_documents(frames, "__text"):
-            ids = [np.append(coder.encode(t), np.uint32(end_id)) for t in frame["__text"]]
+
+        def encode(texts: list):
+            ids = [np.append(coder.encode(t), np.uint32(end_id)) for t in texts]
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            sums = np.array([table[(i[:-1] & 0xFFFF)].sum(axis=0, dtype=np.float64) for i in ids])
-            out = frame[carried].copy()
-            out["ids"] = [(i.astype(np.uint16) if len(i) and i.max() < 1 << 16 else i).tobytes() for i in ids]
-            out["n"] = counts
-            out["wide"] = [bool(i.max() >= 1 << 16) for i in ids]
-            out["key"] = hilbert_keys(grid(sums, counts - 1))
-            yield out
+            sums = np.array([table[i[:-1] & 0xFFFF].sum(axis=0, dtype=np.float64) for i in ids])
+            wide = [bool(i.max() >= 1 << 16) for i in ids]
+            return [(i if w else i.astype(np.uint16)).tobytes() for i, w in zip(ids, wide, strict=True)], counts, wide, hilbert_keys(grid(sums, counts - 1))
 
-    return run
+        return encode
+
+    return make
 
 
 def _number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,7 +179,8 @@ def sequence_starts(total: int, length: int) -> tuple[int, list[int]]:
     return full, starts
 
 
-def _cut(total: int, length: int, carried: list[str]):
+def _cut(total: int, length: int, names: list[str], carried: int):
+    """carried columns, place, n, wide and ids in; a row a piece out."""
     full, tail = sequence_starts(total, length)
     tails = np.array(tail, np.int64)
 
@@ -194,20 +199,21 @@ def _cut(total: int, length: int, carried: list[str]):
             yield at - start, to - start, sequence, at - begin
             at = to
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    kinds = [pa.int64()] * 5 + [pa.binary()]
+
+    def run(batches):
+        for batch in batches:
             rows, source = [], []
-            for k, row in enumerate(zip(frame["place"], frame["n"], frame["wide"], frame["ids"], strict=True)):
-                place, n, wide, data = row
+            places, counts, wides, datas = (c.to_pylist() for c in batch.columns[carried:])
+            for k, (place, n, wide, data) in enumerate(zip(places, counts, wides, datas, strict=True)):
                 ids = data if wide else np.frombuffer(data, np.uint16).astype("<u4").tobytes()
-                for a, b, sequence, offset in pieces(int(place), int(n)):
+                for a, b, sequence, offset in pieces(place, n):
                     source.append(k)
-                    rows.append((a, b - a, int(n), sequence, offset, ids[4 * a : 4 * b]))
-            out = frame[carried].iloc[source].reset_index(drop=True)
-            for c, values in zip(("start", "length", "doc_tokens", "sequence_id", "offset", "ids"), zip(*rows, strict=True), strict=False):
-                out[c] = list(values)
+                    rows.append((a, b - a, n, sequence, offset, ids[4 * a : 4 * b]))
             if rows:
-                yield out
+                kept = [c.take(pa.array(source)) for c in batch.columns[:carried]]
+                made = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=names)
 
     return run
 
@@ -218,12 +224,10 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
 
     path: the tokenizers file; it and ranks_path are read on the executors."""
     spark = docs.sparkSession
-    base = narrow(docs, id_col, *carry).schema
-    names = [f"c{k}" for k in range(len(base))]
-    kept = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip((id_col, *carry), names, strict=True)), F.col(f"`{text}`").alias("__text"))
-    schema = kept.drop("__text").schema
-    encoded = kept.mapInPandas(_encode((path, ranks_path, pattern), end_id, names), schema.add("ids", "binary").add("n", "long").add("wide", "boolean").add("key", "long"))
-    encoded = materialize(encoded.withColumn("rid", F.monotonically_increasing_id()))
+    columns_of(docs, id_col, *carry, text)
+    names = [f"c{k}" for k in range(1 + len(carry))]
+    encoded = map_texts(docs, text, [id_col, *carry], _encoder((path, ranks_path, pattern), end_id), "ids binary; n long; wide boolean; key long")
+    encoded = materialize(encoded.toDF(*names, "ids", "n", "wide", "key").withColumn("rid", F.monotonically_increasing_id()))
     light = encoded.select("key", "rid", "n")
     ordered = light.repartitionByRange(partitions(spark), "key", "rid").sortWithinPartitions("key", "rid").select("rid", "n")
     numbered = materialize(ordered.mapInPandas(_number, "rid long, part int, start long, n long"))
@@ -234,9 +238,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
         at += totals.get(part, 0)
     first = F.element_at(F.split(F.lit(",".join(map(str, offsets or [0]))), ","), F.col("part") + 1).cast("long")
     placed = numbered.select("rid", (first + F.col("start")).alias("place"))
-    joined = encoded.join(placed, "rid").select(*names, "place", "n", "wide", "ids")
-    out_schema = kept.drop("__text").schema
-    for c in ("start", "length", "doc_tokens", "sequence_id", "offset"):
-        out_schema = out_schema.add(c, "long")
-    cut = joined.mapInPandas(_cut(at, length, names), out_schema.add("ids", "binary"))
-    return cut.toDF(id_col, *carry, *cut.columns[len(names) :])
+    # the same plan at every size: places are as many as documents
+    joined = encoded.join(placed.hint("merge"), "rid").select(*names, "place", "n", "wide", "ids")
+    schema = joined.select(*names).schema
+    for c in PIECE:
+        schema = schema.add(c, "binary" if c == "ids" else "long")
+    return joined.mapInArrow(_cut(at, length, schema.names, len(names)), schema).toDF(id_col, *carry, *PIECE)

@@ -32,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Words, coverage, materialize, merged, narrow, partitions, utf8, whole_documents, window_hashes
+from .common import SPACES, Words, coverage, materialize, merged, narrow, partitions, slices, utf8, window_hashes
 
 WIDTH = 13
 BUCKET = 2_000_000
@@ -70,19 +71,19 @@ def sorted_back(data: bytes) -> np.ndarray:
 
 
 def _pack(width: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_documents(frames):
-            known = frame["id"].notna().to_numpy()
-            ids = frame["id"].astype("Int64").fillna(0).to_numpy(np.int64)
-            order = np.lexsort((ids, ~known))
-            ids, known = ids[order], known[order]
-            texts = frame["text"].tolist()
-            words = [utf8(texts[k]).split() for k in order]
-            count = np.fromiter(map(len, words), np.int64, len(words))
-            yield pd.DataFrame({
-                "ids": [ids.tobytes()], "n_known": [int(known.sum())], "windows": [int(np.maximum(count - width + 1, 0).sum())],
-                "blob": [zstandard.compress(b"\n".join(b" ".join(w) for w in words), 1)],
-            })
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch, 1):
+                column = piece.column(0)
+                known = np.array(column.is_valid())
+                ids = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                order = np.lexsort((ids, ~known))
+                texts = piece.column(1).to_pylist()
+                words = [utf8(texts[k]).split() for k in order]
+                count = np.fromiter(map(len, words), np.int64, len(words))
+                blob = zstandard.compress(b"\n".join(b" ".join(w) for w in words), 1)
+                row = ([ids[order].tobytes()], [int(known.sum())], [int(np.maximum(count - width + 1, 0).sum())], [blob])
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["ids", "n_known", "windows", "blob"])
 
     return run
 
@@ -166,9 +167,11 @@ RESULT = "id long, n_words long, n_removed long, kept string, spans array<struct
 
 def _remove(width: int, buckets: int):
     def run(packs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, ids, unknown = [], [], []
         for row in packs.itertuples(index=False):
             pack = _Pack(row.ids, row.n_known, row.blob, width)
+            ids.append(pack.ids)
+            unknown.append(np.arange(len(pack.ids)) >= row.n_known)
             cut = pack.cuts(buckets)
             smaller = np.zeros(len(pack.hash), bool)
             for bucket, bits in zip(marks["bucket"], marks["bits"], strict=True):
@@ -188,9 +191,9 @@ def _remove(width: int, buckets: int):
                     left = np.flatnonzero(~covered[first:last])
                     words = text.split(b" ")
                     kept = b" ".join([words[i] for i in left.tolist()])
-                out.append((pack.ids[k] if k < row.n_known else None, last - first, per_doc[k], kept.decode("utf-8"), [{"start": a, "end": b} for a, b in spans]))
-        frame = pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept", "spans"])
-        frame["id"] = frame["id"].astype("Int64")
+                out.append((last - first, per_doc[k], kept.decode("utf-8"), [{"start": a, "end": b} for a, b in spans]))
+        frame = pd.DataFrame(out, columns=["n_words", "n_removed", "kept", "spans"])
+        frame.insert(0, "id", pd.arrays.IntegerArray(np.concatenate([np.empty(0, np.int64), *ids]), np.concatenate([np.empty(0, bool), *unknown])))
         return frame
 
     return run
@@ -201,7 +204,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     by one space) and spans (maximal removal intervals, in words)."""
     spark = docs.sparkSession
     source = narrow(docs, id_col, text).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-    packs = source.mapInPandas(_pack(width), "ids binary, n_known long, windows long, blob binary")
+    packs = source.mapInArrow(_pack(width), "ids binary, n_known long, windows long, blob binary")
     packs = materialize(packs.withColumn("pack", F.monotonically_increasing_id()))
     total = packs.agg(F.sum("windows")).first()[0] or 0
     buckets = max(partitions(spark), -(-total // bucket))
