@@ -93,25 +93,30 @@ def as_of(graph: Graph, log: DataFrame, seq: int | None = None) -> Graph:
     takes its edges with it; ids are not used again."""
     if seq is not None:
         log = log.where(F.col("seq") <= seq)
-    nodes = {t: _nodes(graph, log, t) for t in graph.schema.types}
-    edges = {key: _pairs(graph, log, *key) for key in graph.edge_names()}
+    # functions: a query plans only the types and edges that it reads
+    nodes = {t: (lambda t=t: _nodes(graph, log, t)) for t in graph.schema.types}
+    edges = {key: (lambda key=key: _pairs(graph, log, *key)) for key in graph.edge_names()}
     return graph.replaced(nodes, edges)
 
 
 def delete_nodes(graph: Graph, type_name: str, ids: DataFrame) -> Graph:
     """The graph without the nodes of ids (a column id) and their edges."""
     ids = ids.select(F.col("id").cast("long")).distinct()
-    nodes = {t: graph.nodes(t) for t in graph.schema.types}
-    nodes[type_name] = nodes[type_name].join(ids, "id", "left_anti")
-    edges = {}
-    for t, e in graph.edge_names():
+
+    def nodes_of(t: str) -> DataFrame:
+        return graph.nodes(t).join(ids, "id", "left_anti") if t == type_name else graph.nodes(t)
+
+    def pairs_of(t: str, e: str) -> EdgePairs:
         bound = graph.edges(t, e)
         pairs = bound.pairs
         if t == type_name:
             pairs = pairs.join(ids.withColumnRenamed("id", "src"), "src", "left_anti")
         if graph.schema.edge(t, e).target == type_name:
             pairs = pairs.join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        edges[t, e] = EdgePairs(pairs.select("src", "dst"), bound.one_target, bound.one_source)
+        return EdgePairs(pairs.select("src", "dst"), bound.one_target, bound.one_source)
+
+    nodes = {t: (lambda t=t: nodes_of(t)) for t in graph.schema.types}
+    edges = {key: (lambda key=key: pairs_of(*key)) for key in graph.edge_names()}
     return graph.replaced(nodes, edges)
 
 

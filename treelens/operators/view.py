@@ -30,8 +30,6 @@ from .select import filtered, roots
 
 BASE = ("type", "id", "parent_type", "parent_id", "edge", "depth")
 MAX_DEPTH = 100
-#: recursion levels between two cuts of the lineage
-CUT_EVERY = 8
 
 
 @dataclass(frozen=True)
@@ -153,10 +151,10 @@ class Forest:
         )
         if self.query.virtual and level == 1 and not s.virtual:
             out = out.withColumns({"parent_type": F.lit(None).cast("string"), "parent_id": F.lit(None).cast("long")})
-        if recursive and level % CUT_EVERY == 0:
-            out = materialize(out)
-        if recursive and out.isEmpty():  # the frontier of a recursion: one look a level
-            return None
+        if recursive:
+            out = materialize(out)  # each level once: the next one and the test for its end read it
+            if out.isEmpty():
+                return None
         if not s.virtual:
             self._parts.append(out.drop("__hidden"))
             self._types.append(edge.target)

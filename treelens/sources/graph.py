@@ -37,7 +37,7 @@ class Graph:
     """Nodes and edges of a schema.  Frames are lazy; nothing is collected.  A
     source may be a function: it is opened when a query first needs it."""
 
-    def __init__(self, spark: SparkSession, schema: Schema, nodes: dict[str, DataFrame] | None = None, edges: dict[tuple[str, str], EdgePairs] | None = None):
+    def __init__(self, spark: SparkSession, schema: Schema, nodes: dict[str, Source] | None = None, edges: dict[tuple[str, str], EdgePairs | Callable[[], EdgePairs]] | None = None):
         self.spark, self.schema = spark, schema
         self._nodes: dict[str, Source] = dict(nodes or {})
         self._edges: dict[tuple[str, str], EdgePairs | Callable[[], EdgePairs]] = dict(edges or {})
@@ -102,7 +102,7 @@ class Graph:
                     out.append((t.name, e.name))
         return out
 
-    def replaced(self, nodes: dict[str, DataFrame], edges: dict[tuple[str, str], EdgePairs]) -> Graph:
+    def replaced(self, nodes: dict[str, Source], edges: dict[tuple[str, str], EdgePairs | Callable[[], EdgePairs]]) -> Graph:
         return Graph(self.spark, self.schema, nodes, edges)
 
     # ------------------------------------------------------------- look-ups
