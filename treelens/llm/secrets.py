@@ -83,8 +83,8 @@ def _located(found: DataFrame) -> DataFrame:
 
 
 def _looks_live(value: Column) -> Column:
-    chars = F.array_distinct(F.split(value, ""))
-    return F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Za-z]")) & (F.size(chars) > MIN_DISTINCT_CHARS)
+    chars = F.array_remove(F.array_distinct(F.split(value, "")), "")
+    return F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Za-z]")) & (F.size(chars) >= MIN_DISTINCT_CHARS)
 
 
 def _token_rows(located: DataFrame) -> DataFrame:
