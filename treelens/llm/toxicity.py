@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import columns_of, map_texts, materialize, narrow
 
 MAX_TOXIC = 3000
 MAX_CLEAN = 6000
@@ -64,13 +64,32 @@ def text_features(text) -> Counter:
     return found
 
 
-def _featurize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _signed(features) -> np.ndarray:
+    return np.fromiter(features, np.uint64, len(features)).view(np.int64)
+
+
+def _presence(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(feature, toxic) of each feature of each row."""
     for frame in frames:
-        rows = []
         for own, text in zip(frame["toxic"], frame["text"], strict=True):
-            found = text_features(text)
-            rows.append((own, np.fromiter(found, np.uint64, len(found)).tobytes(), np.fromiter(found.values(), np.int64, len(found)).astype(np.int32).tobytes()))
-        yield pd.DataFrame(rows, columns=["toxic", "features", "counts"])
+            yield pd.DataFrame({"feature": _signed(text_features(text)), "toxic": own})
+
+
+def _counted(use: np.ndarray):
+    """(toxic, at, counts): how often features of the sorted `use` occur."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for own, text in zip(frame["toxic"], frame["text"], strict=True):
+                found = text_features(text)
+                names, counts = _signed(found), np.fromiter(found.values(), np.int64, len(found))
+                at = np.searchsorted(use, names)
+                on = use[np.minimum(at, len(use) - 1)] == names if len(use) else np.zeros(len(names), bool)
+                rows.append((own, at[on].tobytes(), counts[on].tobytes()))
+            yield pd.DataFrame(rows, columns=["toxic", "at", "counts"])
+
+    return run
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -141,40 +160,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     chosen = sample_labels(labels, id_col, toxic, {1: max_toxic, 0: max_clean}).withColumnRenamed("grade", "toxic")
     # a label sample of bounded rows; repeated documents of one id count once
     known = narrow(docs, id_col, text).toDF("id", "text").join(F.broadcast(chosen), "id").dropDuplicates(["id"])
-    got = known.select("toxic", "text").mapInPandas(_featurize, "toxic int, features binary, counts binary").collect()
-    is_toxic = np.array([r["toxic"] for r in got], bool)
-    features = [np.frombuffer(r["features"], np.uint64) for r in got]
-    counts = [np.frombuffer(r["counts"], np.int32) for r in got]
-    n = np.array([(~is_toxic).sum(), is_toxic.sum()])
-    if not n.all():
+    known = materialize(known.select("toxic", "text"))
+    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
         return OrdinalModel(np.empty(0, np.uint64), np.empty(0), np.full(GRADES - 1, 40.0))
-    every, back = np.unique(np.concatenate(features), return_inverse=True)
-    owner = np.repeat(is_toxic, [len(f) for f in features])
-    df = np.stack([np.bincount(back[owner == t], minlength=len(every)) for t in (False, True)])
-    odds = np.log((df[1] + 0.05) / n[1]) - np.log((df[0] + 0.5) / n[0])
+    # features are counted in Spark; only those that speak for toxic rows arrive here
     least = max(2, round(0.004 * n[1]))
-    use = np.flatnonzero((df[1] >= least) & (odds > 1.0))
-    marker = (odds > 3.0) & (df[1] >= least)
-    position = np.full(len(every), -1)
-    position[use] = np.arange(len(use))
-    rows, marks, at = [], [], 0
-    for f, c in zip(features, counts, strict=True):
-        own = back[at : at + len(f)]
-        at += len(f)
-        marks.append(int(c[marker[own]].sum() / (1 + len(PREFIXES)) + 0.5))
-        on = position[own] >= 0
-        rows.append((position[own][on], 1 + np.log(c[on])))
+    df = known.mapInPandas(_presence, "feature long, toxic int").groupBy("feature").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n"))
+    odds = F.log((F.col("n1") + 0.05) / n[1]) - F.log((F.col("n") - F.col("n1") + 0.5) / n[0])
+    chosen_features = df.where(F.col("n1") >= least).select("feature", odds.alias("odds")).where("odds > 1.0").toPandas().sort_values("feature")
+    use, marker = chosen_features["feature"].to_numpy(np.int64), chosen_features["odds"].to_numpy() > 3.0
+    rows, marks, is_toxic = [], [], []
+    for r in known.mapInPandas(_counted(use), "toxic int, at binary, counts binary").collect():
+        at, counts = np.frombuffer(r["at"], np.int64), np.frombuffer(r["counts"], np.int64)
+        marks.append(int(counts[marker[at]].sum() / (1 + len(PREFIXES)) + 0.5))
+        rows.append((at, 1 + np.log(counts)))
+        is_toxic.append(bool(r["toxic"]))
     grades = np.where(is_toxic, 1 + np.searchsorted(STEPS, marks, side="right"), 0)
-    return fit_ordinal(rows, grades, every[use])
+    return fit_ordinal(rows, grades, use.view(np.uint64))
 
 
-SCORES = "expected_severity double, p_toxic double, grade integer, toxic boolean"
+SCORES = "expected_severity double; p_toxic double; grade int; toxic boolean"
 
 
-def _scorer(model: OrdinalModel, carried: list[str], threshold: float):
+def _scorer(model: OrdinalModel, threshold: float):
+    """Makes f(texts) -> the columns of SCORES."""
     index = {int(f): k for k, f in enumerate(model.features)}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         known: dict[str, tuple[int, ...]] = {}
 
         def linear(text) -> float:
@@ -194,36 +207,29 @@ def _scorer(model: OrdinalModel, carried: list[str], threshold: float):
             at = np.fromiter(counts, np.int64, len(counts))
             return float(model.weights[at] @ (1 + np.log(np.fromiter(counts.values(), float, len(counts)))))
 
-        for frame in frames:
-            above = model.exceed(np.array([linear(t) for t in frame["__text"]], float))
-            out = frame[carried].copy()
-            out["expected_severity"] = above.sum(axis=1)
-            out["p_toxic"] = above[:, 0]
-            out["grade"] = (above >= 0.5).sum(axis=1).astype(np.int32)
-            out["toxic"] = above[:, 0] >= threshold
-            yield out
+        def scores(texts: list) -> list[np.ndarray]:
+            above = model.exceed(np.array([linear(t) for t in texts], float))
+            return [above.sum(axis=1), above[:, 0], (above >= 0.5).sum(axis=1).astype(np.int32), above[:, 0] >= threshold]
 
-    return run
+        return scores
+
+    return make
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: id, expected_severity (0 to GRADES-1), p_toxic (of
     grade 1 or more), grade (the median) and toxic (p_toxic >= threshold)."""
-    source = narrow(docs, id_col, text).toDF("id", "__text")
-    schema = source.select("id").schema
-    for part in SCORES.split(", "):
-        schema = schema.add(*part.split(" "))
-    return source.mapInPandas(_scorer(model, ["id"], threshold), schema).withColumnRenamed("id", id_col)
+    columns_of(docs, id_col, text)
+    return map_texts(docs, text, [id_col], _scorer(model, threshold), SCORES)
 
 
 def keep_clean(docs: DataFrame, model: OrdinalModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns as they are, that are not toxic."""
-    run, at = _scorer(model, [], threshold), docs.columns.index(text)
+    make, at = _scorer(model, threshold), docs.columns.index(text)
 
     def kept(batches):
+        scores = make()
         for batch in batches:
-            texts = batch.column(at).to_pandas()
-            verdict = next(run(iter([pd.DataFrame({"__text": texts})])))["toxic"].to_numpy(bool)
-            yield batch.filter(pa.array(~verdict))
+            yield batch.filter(pa.array(~scores(batch.column(at).to_pylist())[3]))
 
     return docs.mapInArrow(kept, docs.schema)
