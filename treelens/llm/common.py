@@ -4,6 +4,7 @@ bounded batches of whole documents, and vectorised word scanning."""
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
 
 import numpy as np
@@ -30,6 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers that start beside this copy of the package import it,
+    whatever the working folder; on a cluster it comes by --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends
     there, and an executor lost later costs only the tasks that read its part."""
@@ -122,6 +133,7 @@ def map_texts(df: DataFrame, text: str, carried: list[str], make, fields: str, l
     make() is called once a task and returns f(list of texts) -> one sequence a
     new column.  fields: their names and types.  The carried values stay Arrow
     values: pandas would turn integers beside nulls into floats."""
+    importable(df.sparkSession)
     names = [f"c{k}" for k in range(len(carried))]
     kept = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carried, names, strict=True)), F.col(f"`{text}`").cast("string").alias("text"))
     schema = kept.drop("text").schema
@@ -265,4 +277,5 @@ def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def narrow(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns, by exact name (names with dots included)."""
+    importable(df.sparkSession)
     return df.select(*(F.col(f"`{n}`") for n in columns_of(df, *names)))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, Words, coverage, free_name, map_texts, materialize, merged, narrow, slices, utf8
+from .common import ALNUM, LOWER, Words, coverage, free_name, importable, map_texts, materialize, merged, narrow, slices, utf8
 
 WIDTH = 10
 SAMPLE = 8
@@ -321,6 +321,7 @@ def _merge_spans(spans):
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs, all columns, with the removal spans cut out of the texts (`n_chars`
     follows where it exists).  Documents that consist of nothing else go."""
+    importable(docs.sparkSession)
     at, chars = docs.columns.index(text), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
     block = next(blocks)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, columns_of, free_name, map_texts, materialize, partitions, utf8
+from .common import LOWER, columns_of, free_name, importable, map_texts, materialize, partitions, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -160,6 +160,7 @@ def link_forest(distinct: DataFrame, threshold: int = THRESHOLD, group: int = GR
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the covering holds for thresholds of 0 to {THRESHOLD}")
     spark = distinct.sparkSession
+    importable(spark)
     replicas = distinct.select("fp").mapInPandas(_replicate, "anchor long, fp long")
     crowded = materialize(replicas.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("anchor", F.ceil(F.col("n") / group).cast("int").alias("chunks")))
     n_crowded = crowded.count()

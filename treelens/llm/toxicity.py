@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, map_texts, materialize, narrow
+from .common import columns_of, importable, map_texts, materialize, narrow
 
 MAX_TOXIC = 3000
 MAX_CLEAN = 6000
@@ -225,6 +225,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text: st
 
 def keep_clean(docs: DataFrame, model: OrdinalModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns as they are, that are not toxic."""
+    importable(docs.sparkSession)
     make, at = _scorer(model, threshold), docs.columns.index(text)
 
     def kept(batches):
