@@ -5,7 +5,8 @@ with the columns of `documents`; the last returns packed pieces.  Between stages
 the documents are a written table, so a lost executor costs tasks, not stages.
 
 1. toxicity: documents that the ordinal model finds toxic go.
-2. SimHash near-dedup: of each component one document, the smallest id, stays.
+2. SimHash near-dedup: of each component of SimHash links and of documents whose
+   five-word shingles are alike by 0.8 or more one, the smallest id, stays.
 3. benchmark decontamination: removal spans are cut out of the texts; documents
    that consist of nothing else go.
 4. secret scans: base and owner-specific spans are replaced by a mark.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelens.llm import fmindex, packing, secrets, simhash, toxicity
+from treelens.llm import fmindex, nearcopies, packing, secrets, toxicity
 from treelens.llm.common import materialize
 from treelens.llm.queries import tokenizer_files
 
@@ -28,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return nearcopies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
