@@ -442,7 +442,16 @@ for _kind, _where in (
 @entry("""SELECT o_orderkey AS seq, 'link' AS event, 'Order' AS type, o_orderkey AS id, 'customer' AS edge, o_custkey AS other_id FROM orders WHERE o_orderkey < 500
 UNION ALL SELECT o_orderkey, 'link', 'Customer', o_custkey, 'orders', o_orderkey FROM orders WHERE o_orderkey < 500""")
 def node_watch_link(g):
-    pairs = g.edges("Order", "customer").pairs.where("src < 500")
+    return _watched(g, g.edges("Order", "customer").pairs.where("src < 500"))
+
+
+@entry("""SELECT o_orderkey AS seq, 'link' AS event, 'Order' AS type, o_orderkey AS id, 'customer' AS edge, o_custkey AS other_id FROM orders
+UNION ALL SELECT o_orderkey, 'link', 'Customer', o_custkey, 'orders', o_orderkey FROM orders""")
+def node_watch_link_all(g):
+    return _watched(g, g.edges("Order", "customer").pairs)
+
+
+def _watched(g: Graph, pairs: DataFrame) -> DataFrame:
     log = pairs.select(F.col("src").alias("seq"), F.lit("link").alias("op"), F.lit("Order").alias("type"), F.col("src").alias("id"), F.lit(None).cast("map<string,string>").alias("props"), F.lit("customer").alias("edge"), F.col("dst").alias("target"))
     return watch(g.schema, log).select("seq", "event", "type", "id", "edge", "other_id")
 
