@@ -17,3 +17,7 @@ def orders(spark):
 def test_every_link_is_watched_from_both_ends(spark):
     got = {(r["type"], r["id"], r["other_id"]) for r in catalog.QUERIES["node_watch_link_all"](spark, SF).collect()}
     assert got == {x for c, o in orders(spark) for x in (("Order", o, c), ("Customer", c, o))}
+
+
+def test_every_edge_is_found(spark):
+    assert {(r["src"], r["dst"]) for r in catalog.QUERIES["has_edge_all"](spark, SF).collect()} == orders(spark)

@@ -202,6 +202,14 @@ def has_edge(g):
     return linked(g, "Customer", "orders", asked.select("src", "dst"))
 
 
+@entry("SELECT o_custkey AS src, o_orderkey AS dst FROM orders")
+def has_edge_all(g):
+    # asked: each order with its own customer and with the customer of the next number
+    own = g.edges("Order", "customer").pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    asked = own.unionByName(own.select((F.col("src") + 1).alias("src"), "dst"))
+    return linked(g, "Customer", "orders", asked)
+
+
 @entry("SELECT o_orderkey AS src, o_custkey AS dst FROM orders")
 def reverse_edges(g):
     return g.edges("Order", "customer").pairs.select("src", "dst")
