@@ -21,3 +21,8 @@ def test_every_link_is_watched_from_both_ends(spark):
 
 def test_every_edge_is_found(spark):
     assert {(r["src"], r["dst"]) for r in catalog.QUERIES["has_edge_all"](spark, SF).collect()} == orders(spark)
+
+
+def test_every_order_stands_under_the_hidden_root(spark):
+    got = catalog.QUERIES["virtual_root_all"](spark, SF).collect()
+    assert {r["id"] for r in got} == {o for _, o in orders(spark)} and sorted(r["pos"] for r in got) == list(range(len(got)))

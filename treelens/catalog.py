@@ -270,6 +270,12 @@ def virtual_root(g):
     return Forest(g, q).positions().select("type", "id", "depth", "pos")
 
 
+@entry("SELECT 'Order' AS type, o_orderkey AS id, CAST(0 AS INTEGER) AS depth, ROW_NUMBER() OVER (ORDER BY c_name, c_custkey, o_orderdate DESC NULLS LAST, o_orderkey) - 1 AS pos FROM orders JOIN customer ON o_custkey = c_custkey")
+def virtual_root_all(g):
+    q = query("Customer", select("orders", sort=["-o_orderdate"]), sort=["c_name"], virtual=True)
+    return Forest(g, q).positions().select("type", "id", "depth", "pos")
+
+
 @entry("""WITH RECURSIVE r AS (
   SELECT conv_id * 1000 + turn AS id, CAST(NULL AS BIGINT) AS parent_id, 0 AS depth, conv_id FROM conversations WHERE turn = 0
   UNION ALL SELECT c.conv_id * 1000 + c.turn, r.id, r.depth + 1, c.conv_id FROM r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.depth + 1
