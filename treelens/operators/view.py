@@ -29,7 +29,6 @@ from .rollups import with_fields
 from .select import filtered, roots
 
 BASE = ("type", "id", "parent_type", "parent_id", "edge", "depth")
-MAX_DEPTH = 100
 
 
 @dataclass(frozen=True)
@@ -70,7 +69,7 @@ def _keyed(df: DataFrame, level: int, slot: str, sorts: Sequence[Sort], rank: in
 class Forest:
     """All visible rows of a query under an expansion."""
 
-    def __init__(self, graph: Graph, q: Query, expansion: Expansion = ALL, strict_tags: bool = False, max_depth: int = MAX_DEPTH):
+    def __init__(self, graph: Graph, q: Query, expansion: Expansion = ALL, strict_tags: bool = False, max_depth: int | None = None):
         self.graph, self.query, self.expansion = graph, analyze(graph.schema, q), expansion
         self.strict, self.max_depth = strict_tags, max_depth
         self._parts: list[DataFrame] = []
@@ -103,18 +102,22 @@ class Forest:
     def _below(self, rows: DataFrame, type_name: str, selections: Iterable[Selection], level: int, path: str) -> None:
         """Add what the selections lead to from rows (nodes of type_name).
         path: the ranks of the edges so far, which name the order's columns."""
-        for rank, s in enumerate(in_edge_order(selections), 1):
+        # a stack, not calls: a recursive edge goes on until a level is empty
+        todo = [(rows, type_name, s, level, rank, path) for rank, s in reversed([*enumerate(in_edge_order(selections), 1)])]
+        while todo:
+            rows, type_name, s, level, rank, path = todo.pop()
             slot = f"{path}{rank}x"
             reached = self._hop(rows, type_name, s, level + 1, rank, slot)
             if reached is not None:
-                self._below(reached, self.graph.schema.edge(type_name, s.edge).target, children_of(s), level + 1, slot)
+                target = self.graph.schema.edge(type_name, s.edge).target
+                todo += [(reached, target, below, level + 1, k, slot) for k, below in reversed([*enumerate(in_edge_order(children_of(s)), 1)])]
 
     def _hop(self, rows: DataFrame, type_name: str, s: Selection, level: int, rank: int, slot: str) -> DataFrame | None:
         graph, schema = self.graph, self.graph.schema
         edge = schema.edge(type_name, s.edge)
         bound = graph.edges(type_name, s.edge)
         recursive = s.recursive
-        if level > self.max_depth:
+        if self.max_depth is not None and level > self.max_depth:
             return None
         if self.expansion.depth is not None and not s.virtual:
             rows = rows.where(F.col("depth") + 1 <= self.expansion.depth)
