@@ -6,6 +6,7 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,9 +24,12 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) is one chosen."""
+    Only where the session names none and runs on one machine (tests) is one
+    chosen; on a cluster there is no folder to choose, and this raises."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file:///tmp/checkpoints/treelens-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -51,10 +55,17 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_materialized() -> None:
-    """Delete every table that materialize() wrote in this process."""
-    while _written:
-        spark, path = _written.pop()
+def written() -> int:
+    """How many tables of materialize() there are."""
+    return len(_written)
+
+
+def drop_materialized(since: int = 0, but_last: int = 0) -> None:
+    """Delete the tables that materialize() wrote in this process: those after
+    the first `since`, without the last `but_last`."""
+    gone = _written[since : len(_written) - but_last]
+    del _written[since : len(_written) - but_last]
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -77,13 +88,38 @@ def columns_of(df: DataFrame, *names: str) -> list[str]:
     return list(names)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that df does not have yet."""
-    while name in df.columns:
+def free_name(taken: DataFrame | Sequence[str], name: str) -> str:
+    """A column name that is not taken yet.  Columns that an operator makes give
+    way to those of its input: a taken name gets underscores in front."""
+    names = taken.columns if isinstance(taken, DataFrame) else taken
+    while name.lower() in {n.lower() for n in names}:
         name = "_" + name
     return name
 
 
+def free_names(taken: DataFrame | Sequence[str], *names: str) -> list[str]:
+    return [free_name(taken, n) for n in names]
+
+
+#: keys of more than one in HOT of all rows are joined by broadcast
+HOT = 1024
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """rows with the columns of table, which has one row a key and in `n` how
+    many rows have that key; rows of other keys go.
+
+    Keys of more than a share of 1 in HOT are fewer than HOT by arithmetic: they
+    are broadcast, whatever the input's size, so no task gets all rows of a hot
+    key; the other keys are shuffled.  Both are read twice: written tables."""
+    total = table.agg(F.sum(n)).first()[0] or 0
+    often = F.col(n) * HOT > total
+    few, rest = table.where(often).drop(n), table.where(~often).drop(n)
+    hot = rows.join(F.broadcast(few), key)
+    others = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest.hint("merge"), key)
+    return hot.unionByName(others.select(hot.columns))
+
+
 # ---------------------------------------------------------------- batches
 
 
@@ -131,8 +167,9 @@ def map_texts(df: DataFrame, text: str, carried: list[str], make, fields: str, l
     """The carried columns as they are, and new columns made from the text.
 
     make() is called once a task and returns f(list of texts) -> one sequence a
-    new column.  fields: their names and types.  The carried values stay Arrow
-    values: pandas would turn integers beside nulls into floats."""
+    new column.  fields: their names and types; a name that a carried column has
+    gives way (free_name).  The carried values stay Arrow values: pandas would
+    turn integers beside nulls into floats."""
     importable(df.sparkSession)
     names = [f"c{k}" for k in range(len(carried))]
     kept = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carried, names, strict=True)), F.col(f"`{text}`").cast("string").alias("text"))
@@ -152,7 +189,7 @@ def map_texts(df: DataFrame, text: str, carried: list[str], make, fields: str, l
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     out = kept.mapInArrow(run, schema)
-    return out.toDF(*carried, *schema.names[width:])
+    return out.toDF(*carried, *free_names(carried, *schema.names[width:]))
 
 
 # ---------------------------------------------------------------- word scanning

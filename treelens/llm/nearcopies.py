@@ -18,6 +18,10 @@ chunks.  Of the links found in a block only a spanning forest is kept.
 Words are those of op8: lower-cased runs without ASCII white space.  Texts of
 fewer than five words are alike only if equal, which op8 links.  64-bit hashes
 are taken as equality.
+
+Defined results of keep_one: null and empty texts are equal to each other; a
+null id counts as the largest; repeated rows leave one; an empty table gives no
+rows; all columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import LOWER, SPACES, Words, _WORD_BASE, free_name, importable, map_texts, materialize, partitions, span_hashes, splitmix, utf8, window_hashes
+from .common import LOWER, SPACES, Words, _WORD_BASE, free_name, importable, join_counted, map_texts, materialize, partitions, span_hashes, splitmix, utf8, window_hashes
 
 WIDTH = 5
 SIMILAR = 0.8
@@ -144,9 +148,9 @@ def candidates(rows: DataFrame, rid: str, text: str) -> DataFrame:
     signed = made.where(F.col("n") > 0).groupBy("digest").agg(F.min_by(F.struct("n", "bands"), rid).alias("own"), F.min(rid).alias("node"))
     signed = materialize(signed.select("node", "own.n", "own.bands"))
     buckets = signed.select("node", F.explode("bands").alias("band"))
-    heads = buckets.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1").select("band", "head")
-    links = buckets.join(heads.hint("merge"), "band").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-    return simhash.components(links).join(signed.select("node", "n"), "node")
+    heads = materialize(buckets.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1"))
+    links = join_counted(buckets, heads, "band", "many").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    return simhash.contract(links)[0].join(signed.select("node", "n"), "node")
 
 
 def alike(rows: DataFrame, rid: str, text: str, least: float = SIMILAR, group: int = GROUP, shingles: int = SHINGLES) -> DataFrame:
@@ -156,9 +160,9 @@ def alike(rows: DataFrame, rid: str, text: str, least: float = SIMILAR, group: i
     importable(spark)
     members = materialize(candidates(rows, rid, text))
     chunks = F.greatest(F.ceil(F.count(F.lit(1)) / group), F.ceil(F.sum("n") / shingles)).cast("int")
-    sizes = members.groupBy("root").agg(chunks.alias("chunks"))
+    sizes = materialize(members.groupBy("root").agg(chunks.alias("chunks"), F.count(F.lit(1)).alias("members")))
     # chunk a of k meets every chunk b in block (min, max); in block (a, a) it is alone
-    placed = members.join(sizes.hint("merge"), "root").withColumn("a", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    placed = join_counted(members, sizes, "root", "members").withColumn("a", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     block = (F.least("a", "b").cast("long") * F.col("chunks") + F.greatest("a", "b")).cast("long")
     part = F.when(F.col("a") == F.col("b"), 0).when(F.col("a") < F.col("b"), 2).otherwise(3)
@@ -180,8 +184,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     links = materialize(alike(plain, "__rid", "__text", least, group))
     links = links.join(own.select(F.col("rid").alias("u"), F.col("component_id").alias("cu")).hint("merge"), "u")
     links = links.join(own.select(F.col("rid").alias("v"), F.col("component_id").alias("cv")).hint("merge"), "v")
-    roots = simhash.components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()).withColumnRenamed("node", "component_id")
-    joined = near.join(roots.hint("merge"), "component_id", "left").withColumn("component_id", F.coalesce("root", "component_id"))
-    best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id"), F.col("__rid")))
-    kept = joined.groupBy("component_id").agg(best.alias("best")).select(F.col("best.__rid").alias(rid))
+    roots = simhash.contract(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())[0].withColumnRenamed("node", "component_id")
+    # the first document of each of op8's components, then of components of those
+    best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id"), F.col("__rid"))).alias("best")
+    firsts = near.groupBy("component_id").agg(best).join(roots.hint("merge"), "component_id", "left")
+    kept = firsts.groupBy(F.coalesce("root", "component_id").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.__rid").alias(rid))
     return rows.join(kept.hint("merge"), rid, "left_semi").drop(rid)

@@ -16,12 +16,16 @@ so copies cost nothing further.  An anchor with more than GROUP fingerprints is
 split into pairs of bounded chunks, each compared in a task's own time.  Of the
 links found at an anchor only a spanning forest is kept, so no anchor emits all
 its pairs; the connected components of the forests are those of all links.
-Components come from rounds of contraction to the smallest neighbour, each
-round a written table.
+Components come from rounds of contraction, logarithmic in the longest chain of
+links, each round a written table.  Fingerprints and components that very many
+rows share are joined by broadcast of those few keys, so they spread over tasks.
 
 Defined results: null and empty texts have fingerprint zero and link like any
-other; repeated rows give a row each; a null id is never the smallest (the
-component of rows with null ids alone is null); other columns are not read.
+other; repeated rows give a row each; ids are of any ordered type, a null id is
+never the smallest (the component of rows with null ids alone is null); an empty
+table gives no rows; other columns are not read (near_duplicates) or kept
+(keep_one); an id or carried column named `fp` or `component_id` keeps its name,
+and the new column gets an underscore in front.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, columns_of, free_name, importable, map_texts, materialize, partitions, utf8
+from .common import LOWER, columns_of, free_name, importable, join_counted, map_texts, materialize, partitions, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -186,41 +190,64 @@ def link_forest(distinct: DataFrame, threshold: int = THRESHOLD, group: int = GR
 # ---------------------------------------------------------------- components
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of the links (u, v); root names its component.
+def contract(links: DataFrame) -> tuple[DataFrame, int]:
+    """(node, root) of every node of the links (u, v), and the number of rounds;
+    root is one node of the component, the same for all its nodes.
 
-    A round maps each node to the smallest of itself and its neighbours and
-    keeps the links between different images; nodes at least halve."""
+    A round points each node at the one of smallest hash among itself and its
+    neighbours, then once more along the pointers, and keeps the links between
+    different targets.  Hashes make the order a random one, so a chain that
+    ascends is no special case: a chain loses at least half of its nodes a
+    round on average, a star all but its centre in two.  Rounds are logarithmic
+    in the longest path, and their tables shrink geometrically."""
     links = materialize(links.where(F.col("u") != F.col("v")).select("u", "v"))
     maps = []
     while not links.isEmpty():
         both = links.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(links.select(F.col("v").alias("node"), F.col("u").alias("other")))
-        step = materialize(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("root")))
+        best = both.groupBy("node").agg(F.min_by("other", F.xxhash64("other")).alias("other"))
+        own, other = F.xxhash64("node"), F.xxhash64("other")
+        lower = (other < own) | ((other == own) & (F.col("other") < F.col("node")))
+        step = best.select("node", F.when(lower, F.col("other")).otherwise(F.col("node")).alias("root"))
+        onward = step.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        step = materialize(step.join(onward, "root").select("node", F.col("top").alias("root")))
         maps.append(step)
         u = step.select(F.col("node").alias("u"), F.col("root").alias("ru"))
         v = step.select(F.col("node").alias("v"), F.col("root").alias("rv"))
         image = links.join(u, "u").join(v, "v").where(F.col("ru") != F.col("rv"))
         links = materialize(image.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+    rounds = len(maps)
     if not maps:
-        return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return links.select(F.col("u").alias("node"), F.col("v").alias("root")), 0
     found = maps.pop()
     while maps:
         upper = found.select(F.col("node").alias("root"), F.col("root").alias("top"))
         found = maps.pop().join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return found
+    return found, rounds
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of every node of the links (u, v); root is the smallest node
+    of its component."""
+    named = materialize(contract(links)[0])
+    least = named.groupBy("root").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"))
+    return join_counted(named, least, "root", "n").select("node", F.col("least").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), threshold: int = THRESHOLD, group: int = GROUP) -> DataFrame:
     """One row a document: id, carried columns, fp (signed long) and
     component_id, the smallest id of all documents that links reach."""
-    rows = materialize(fingerprints(docs, id_col, text, carry))
-    classes = materialize(rows.groupBy("fp").agg(F.min(f"`{id_col}`").alias("first")))
-    roots = components(link_forest(classes, threshold, group)).withColumnRenamed("node", "fp")
+    made = fingerprints(docs, id_col, text, carry)
+    names = made.columns
+    rows = materialize(made.toDF(*(f"c{k}" for k in range(len(names) - 1)), "fp"))
+    classes = materialize(rows.groupBy("fp").agg(F.min("c0").alias("first"), F.count(F.lit(1)).alias("n")))
+    roots = contract(link_forest(classes, threshold, group))[0].withColumnRenamed("node", "fp")
     linked = materialize(classes.join(roots, "fp").select("fp", "first", "root"))
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = materialize(linked.join(smallest, "root").select("fp", "component_id"))
-    every = classes.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(every, "fp").select(*(F.col(f"`{c}`") for c in (id_col, *carry)), "fp", "component_id")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    known = join_counted(linked, materialize(smallest), "root", "members").select("fp", "component_id")
+    every = classes.join(known, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
+    # a fingerprint that very many rows share (that of empty texts, say) spreads
+    found = join_counted(rows, materialize(every), "fp", "n")
+    return found.select(*(f"c{k}" for k in range(len(names) - 1)), "fp", "component_id").toDF(*names, free_name(names, "component_id"))
 
 
 def hex_fingerprint(fp):
