@@ -11,13 +11,15 @@ latest response is found within each range, and what a range inherits from
 those before it is one row for each URL that crosses a border (at most two a
 range, which bounds the broadcast).
 
-Defined results: a record without URL or time matches nothing (`no_response`
-for revisits); a response of the same time as the revisit is not earlier; of
+Defined results: only `response` records are full and only `revisit` records are
+resolved; records of any other kind (null too) pass through with status `other`
+and are never an answer.  A record without a time, URL or host in its URL (blank
+ones) matches nothing (`no_response` for revisits); a response of the same time as the revisit is not earlier; of
 responses of one time the largest record id counts; a revisit without
 validators is resolved as `unverified`; null headers count as none, names are
 compared in lower case (of names that differ only in case the one sorted last
 counts); repeated rows give a row each; an empty table gives no rows; other
-columns are not read.
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ TRACKING = r"^(utm_[a-z]+|fbclid|gclid|ref|sessionid)=.*"
 
 def canonical_url(url: Column) -> Column:
     """host/path?query: no scheme, user, `www.`, default port or fragment; lower-case
-    host; no tracking parameters, the others sorted; no slash at the end of the path."""
+    host; no tracking parameters, the others sorted; no slash at the end of the path.
+    Null where there is no host."""
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
     rest = F.regexp_replace(bare, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?", "")
     host = F.lower(F.regexp_extract(rest, "^([^/?]*)", 1))
@@ -44,7 +47,7 @@ def canonical_url(url: Column) -> Column:
     path = F.regexp_replace(F.regexp_extract(rest, "^[^/?]*([^?]*)", 1), "/+$", "")
     query = F.regexp_extract(rest, "^[^?]*[?](.*)$", 1)
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.rlike(p, F.lit(TRACKING)))), "&")
-    return F.concat(host, path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+    return F.when(host != "", F.concat(host, path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept))))
 
 
 def _lower_keys(headers: Column) -> Column:
@@ -77,16 +80,18 @@ def _verdict(row: dict[str, Column]) -> Column:
 
 def resolve_revisits(records: DataFrame, record_id: str = "record_id", kind: str = "kind", uri: str = "uri", ts: str = "ts", headers: str = "headers", digest: str = "digest") -> DataFrame:
     """One row a record: record_id, kind, ts, canonical, status (`full`,
-    `resolved`, `unverified`, `mismatch`, `no_response`), response_id (of the
-    full response that holds the payload), digest and headers (merged).
+    `resolved`, `unverified`, `mismatch`, `no_response`, `other`), response_id
+    (of the full response that holds the payload), digest and headers (merged).
 
     On a mismatch the response is named but nothing is taken from it."""
     columns_of(records, record_id, kind, uri, ts, headers, digest)
     c = lambda n: F.col(f"`{n}`")
-    heads = records.select(
+    role = F.when(c(kind) == RESPONSE, 1).when(c(kind) == REVISIT, 0)  # null: another kind
+    # heads are written once: range sampling, dealing and the unmatched rest read them
+    heads = materialize(records.select(
         c(record_id).alias("id"), c(kind).alias("kind"), c(ts).alias("ts"), canonical_url(c(uri)).alias("canonical"),
-        _lower_keys(c(headers)).alias("headers"), c(digest).alias("digest"), (c(kind) == RESPONSE).cast("int").alias("full"),
-    )
+        _lower_keys(c(headers)).alias("headers"), c(digest).alias("digest"), role.alias("full"),
+    ))
     can_match = F.col("canonical").isNotNull() & F.col("ts").isNotNull() & F.col("full").isNotNull()
     # a revisit sorts before the responses of its time: they are not earlier
     keys = ["canonical", "ts", "full", "id"]
@@ -104,15 +109,15 @@ def resolve_revisits(records: DataFrame, record_id: str = "record_id", kind: str
     joined = local.join(F.broadcast(carried.where(F.col("carried").isNotNull())), ["canonical", "part"], "left")
     asof = joined.withColumn("found", F.coalesce("found", "carried")).drop("carried", "part")
     nothing = asof.schema["found"].dataType
-    every = asof.unionByName(heads.where(~F.coalesce(can_match, F.lit(False))).withColumn("found", F.lit(None).cast(nothing)))
+    every = asof.unionByName(heads.where(~can_match).withColumn("found", F.lit(None).cast(nothing)))
     verdict = _verdict({"own": F.col("headers"), "found": F.col("found")["headers"], "own_digest": F.col("digest"), "found_digest": F.col("found")["digest"]})
-    status = F.when(F.col("full") == 1, "full").when(F.col("found").isNull(), "no_response").otherwise(F.when(verdict == "match", "resolved").otherwise(verdict))
+    status = F.when(F.col("full").isNull(), "other").when(F.col("full") == 1, "full").when(F.col("found").isNull(), "no_response").otherwise(F.when(verdict == "match", "resolved").otherwise(verdict))
     every = every.withColumn("status", status)
     taken = F.col("status").isin("resolved", "unverified")
     return every.select(
         F.col("id").alias(record_id), F.col("kind").alias(kind), F.col("ts").alias(ts), "canonical", "status",
         F.when(F.col("full") == 1, F.col("id")).otherwise(F.col("found")["id"]).alias("response_id"),
-        F.when(taken, F.col("found")["digest"]).when(F.col("full") == 1, F.col("digest")).alias(digest),
+        F.when(taken, F.col("found")["digest"]).when(F.col("status").isin("full", "other"), F.col("digest")).alias(digest),
         F.when(taken, merge_headers(F.col("found")["headers"], F.col("headers"))).otherwise(F.col("headers")).alias(headers),
     )
 
