@@ -16,9 +16,11 @@ one pass where the texts are read, without a shuffle.
 
 Defined results: null and empty texts have no features and severity by the
 thresholds alone; labels of null id or grade are not used; labels of one id are
-joined by their largest; without toxic labels every severity is 0; repeated
-rows give a row each; an empty table gives no rows; other columns are not read
-(scores) or are kept (`keep_clean`).
+joined by their largest; unless labels of both kinds have documents, nothing
+tells texts apart and every severity is 0 (nothing is rejected); repeated rows
+give a row each; an empty table gives no rows; other columns are not read
+(scores) or are kept (`keep_clean`); an id column with the name of a score keeps
+it, and the score gets an underscore in front.
 """
 
 from __future__ import annotations
@@ -45,7 +47,8 @@ STEPS = (3, 6)
 GRADES = 4
 L2 = 2e-4
 THRESHOLD = 0.5
-_CACHE = 400_000
+#: words whose features a task remembers, and the longest of them
+_CACHE, _CACHED_LETTERS = 400_000, 64
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -156,7 +159,8 @@ def sample_labels(labels: DataFrame, id_col: str, grade: str, limits: dict[int,
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", toxic: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> OrdinalModel:
-    """Fit on at most max_toxic + max_clean labelled documents."""
+    """Fit on at most max_toxic + max_clean labelled documents.  Without any
+    document of one of the labels the model finds nothing toxic."""
     chosen = sample_labels(labels, id_col, toxic, {1: max_toxic, 0: max_clean}).withColumnRenamed("grade", "toxic")
     # a label sample of bounded rows; repeated documents of one id count once
     known = narrow(docs, id_col, text).toDF("id", "text").join(F.broadcast(chosen), "id").dropDuplicates(["id"])
@@ -197,9 +201,11 @@ def _scorer(model: OrdinalModel, threshold: float):
             for word in _WORD.findall(text.lower()):
                 own = known.get(word)
                 if own is None:
-                    if len(known) >= _CACHE:
-                        known.clear()
-                    own = known[word] = tuple(index[f] for f in word_features(word) if f in index)
+                    own = tuple(index[f] for f in word_features(word) if f in index)
+                    if len(word) <= _CACHED_LETTERS:
+                        if len(known) >= _CACHE:
+                            known.clear()
+                        known[word] = own
                 for k in own:
                     counts[k] = counts.get(k, 0) + 1
             if not counts:
