@@ -7,10 +7,13 @@ In a chunk each filter keeps its maximum; a linear layer on the rectified maxima
 gives the chunk's logit; the mean, smallest and largest chunk logits of a text
 combine into one probability.
 
-Filters and layers are learned on the driver from chunks of a bounded sample of
-labelled rows (MAX_ROWS of each label, those of smallest hash of their id, with
-up to MAX_CHUNKS chunks each, evenly spread); the final combination is fitted on
-the same rows' whole texts, weighted back to the label's frequency.  Scoring
+Filters and layers are learned on the driver from all chunks of a bounded sample
+of labelled rows: of each label the MAX_ROWS rows of smallest hash of their id,
+and of those the first whose texts together have MAX_BYTES bytes (one row at
+least).  A row counts once, however many chunks it has.  The final combination
+is fitted on the same rows' whole texts, weighted back to the label's frequency.
+Training passes over all chunks EPOCHS times, or fewer (one at least) where that
+would be more than MAX_STEPS steps.  Scoring
 reads whole texts where they are, without a shuffle, in pieces of bounded size.
 
 Defined results: null and empty texts are one chunk of zero bytes and get its
@@ -27,10 +30,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, map_texts, narrow, utf8
+from .common import columns_of, map_texts, materialize, narrow, partitions, utf8
 from .toxicity import sample_labels
 
 WIDTH, STRIDE, FILTERS = 8, 2, 24
@@ -38,8 +41,9 @@ STEP = 124
 CHUNK = STEP * STRIDE
 READ = CHUNK + WIDTH - STRIDE
 MAX_ROWS = 2000
-MAX_CHUNKS = 6
+MAX_BYTES = 16 << 20
 EPOCHS = 14
+MAX_STEPS = 2500
 BATCH = 256
 SEED = 11
 #: chunks that are scored at once
@@ -138,16 +142,16 @@ def batch_logits(net: ByteNet, texts: list) -> np.ndarray:
 # ------------------------------------------------------------------- training
 
 
-def _spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Evenly spread chunks of each text, READ bytes each, with their lengths."""
+def _chunked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each text all chunks, READ bytes each one after another, and its length."""
     for frame in frames:
         rows = []
         for grade, text in zip(frame["grade"], frame["text"], strict=True):
             data = utf8(text)
             n = max(1, -(-len(data) // CHUNK))
-            for k in np.unique(np.linspace(0, n - 1, min(n, MAX_CHUNKS)).round().astype(int)).tolist():
-                rows.append((grade, data[k * CHUNK : k * CHUNK + READ].ljust(READ, b"\0"), min(CHUNK, len(data) - k * CHUNK), min(n, MAX_CHUNKS)))
-        yield pd.DataFrame(rows, columns=["grade", "chunk", "length", "of"])
+            padded = np.frombuffer(data.ljust(n * CHUNK + READ - CHUNK, b"\0"), np.uint8)
+            rows.append((grade, np.lib.stride_tricks.as_strided(padded, (n, READ), (CHUNK, 1), writeable=False).tobytes(), len(data)))
+        yield pd.DataFrame(rows, columns=["grade", "chunks", "n_bytes"])
 
 
 def train(chunks: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> ByteNet:
@@ -158,6 +162,7 @@ def train(chunks: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights:
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     t = 0
     slot = np.arange(WIDTH)[:, None, None]
+    epochs = max(1, min(epochs, MAX_STEPS * BATCH // max(1, len(chunks))))
     for epoch in range(epochs):
         order = rng.permutation(len(chunks))
         for at in range(0, len(order), BATCH):
@@ -201,18 +206,26 @@ def fit_combination(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray,
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", quality: str = "quality", max_rows: int = MAX_ROWS) -> ByteNet:
-    """Fit on at most max_rows labelled documents of each label."""
+    """Fit on at most max_rows labelled documents of each label (MAX_BYTES bytes)."""
     counts = {r["q"]: r["n"] for r in labels.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{quality}`").cast("int").alias("q")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n = np.array([counts.get(0, 0), counts.get(1, 0)], float)
     if not n.all():
         return ByteNet(np.zeros((WIDTH, 256, FILTERS), np.float32), np.zeros(FILTERS), 0.0, np.zeros(4), float(n[1] / n.sum()) if n.sum() else 0.5)
     chosen = sample_labels(labels, id_col, quality, {0: max_rows, 1: max_rows})
-    known = narrow(docs, id_col, text).toDF("id", "text").join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("grade", "text")
-    got = known.mapInPandas(_spread, "grade int, chunk binary, length int, of int").toPandas()
-    y = got["grade"].to_numpy(float)
-    share = np.array([max(1, (y == k).sum()) for k in (0, 1)])
-    weight = np.where(y == 1, len(y) / 2 / share[1], len(y) / 2 / share[0])
-    net = train(np.frombuffer(b"".join(got["chunk"]), np.uint8).reshape(-1, READ), got["length"].to_numpy(), y, weight)
+    known = narrow(docs, id_col, text).toDF("id", "text").join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    # at most 2 * max_rows rows: a window over a label is as bounded
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.partitionBy("grade").orderBy(F.xxhash64("id"), "id"))
+    first = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("id"), "id")) == 1
+    known = known.withColumn("use", first | (size <= MAX_BYTES)).where("use").select("grade", "text")
+    known = materialize(known.repartition(partitions(docs.sparkSession)))
+    got = known.mapInPandas(_chunked, "grade int, chunks binary, n_bytes long").toPandas()
+    count = np.fromiter((len(c) // READ for c in got["chunks"]), np.int64, len(got))
+    y, row = np.repeat(got["grade"].to_numpy(float), count), np.repeat(np.arange(len(got)), count)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    lengths = np.minimum(CHUNK, got["n_bytes"].to_numpy()[row] - place * CHUNK)
+    share = np.array([max(1, (got["grade"] == k).sum()) for k in (0, 1)])
+    weight = len(y) / 2 / share[y.astype(int)] / count[row]
+    net = train(np.frombuffer(b"".join(got["chunks"]), np.uint8).reshape(-1, READ), lengths, y, weight)
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
