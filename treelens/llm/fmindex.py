@@ -11,13 +11,19 @@ its own), indexed where it is read, so nothing is shuffled:
 * hits merge into maximal removal spans of words.
 
 Equal texts within a shard are indexed once.  The benchmark is the stated query
-set: it goes to the workers in blocks of at most BLOCK_BYTES, whatever its size,
-and hits of several blocks are merged by document.
+set: its word hashes go to the workers in blocks of at most BLOCK_BYTES of text,
+and a shard's one index is searched for block after block.  A pass over the
+documents takes blocks of PASS_BYTES in all, which bounds what is broadcast; a
+larger benchmark makes further passes, and their hits are merged by document.
 
 Defined results: null and empty texts have no words and no hits; a null item
-text has no window; items with equal text are all reported; repeated rows give
-a row each; an empty documents table gives no rows, an empty benchmark no hits;
-other columns are not read.
+text has no window; windows of an item without an id are hits, but it is not
+counted or listed among the items, as it has no name; items with equal text are
+all reported, items of one id once; repeated rows give a row each; an empty
+documents table gives no rows, an empty benchmark no hits; ids are of any type;
+other columns are not read (find_leaks) or kept (remove_leaks), whatever their
+names; an id column named as a column of HITS keeps its name, and the new column
+gets an underscore in front.
 """
 
 from __future__ import annotations
@@ -29,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, Words, coverage, free_name, importable, map_texts, materialize, merged, narrow, slices, utf8
+from .common import ALNUM, LOWER, Words, free_names, importable, map_texts, materialize, merged, narrow, slices, utf8
 
 WIDTH = 10
 SAMPLE = 8
 BLOCK_BYTES = 8 << 20
+PASS_BYTES = 32 << 20
 
 
 # ------------------------------------------------------------------ the index
@@ -191,52 +198,52 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of the items of one benchmark block, as word hashes."""
+    """Windows of the items of one benchmark block: the hashes of all its words,
+    where each window starts, its length and the number of its item."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int):
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
+        self.width, self.ids = width, [i for i, _ in items]
         words = Words([utf8(t).translate(LOWER) for _, t in items], ALNUM, b"\n")
-        hashes = words.hashes()
-        rows, lengths, owner = [], [], []
-        for k in range(len(items)):
-            own = hashes[words.first[k] : words.first[k + 1]]
-            if len(own):
-                take = min(width, len(own))
-                rows.append(np.pad(np.lib.stride_tricks.sliding_window_view(own, take), ((0, 0), (width - take, 0))))
-                lengths.append(np.full(len(own) - take + 1, take))
-                owner.append(np.full(len(own) - take + 1, k))
-        self.hashes = np.concatenate(rows) if rows else np.empty((0, width), np.uint64)
-        self.lengths = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
-        self.owner = np.concatenate(owner) if owner else np.empty(0, np.int64)
+        self.hashes = words.hashes()
+        count = np.diff(words.first)
+        take = np.minimum(width, count)
+        windows = np.where(count > 0, count - take + 1, 0)
+        self.owner = np.repeat(np.arange(len(items), dtype=np.int32), windows)
+        inner = np.arange(len(self.owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.start = (words.first[:-1][self.owner] + inner).astype(np.int32)
+        self.lengths = take[self.owner].astype(np.int32)
 
     def numbered(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases whose words are all in the sorted vocabulary, and their rows."""
+        """Windows whose words are all in the sorted vocabulary, as numbers of
+        words (a row each, right-aligned), and which windows they are."""
         at = np.searchsorted(vocabulary, self.hashes)
-        known = vocabulary[np.minimum(at, len(vocabulary) - 1)] == self.hashes
-        known |= np.arange(self.hashes.shape[1]) < (self.hashes.shape[1] - self.lengths)[:, None]
-        rows = np.flatnonzero(known.all(axis=1))
-        return at[rows], rows
+        missing = np.append(0, np.cumsum(vocabulary[np.minimum(at, len(vocabulary) - 1)] != self.hashes))
+        end = self.start + self.lengths
+        rows = np.flatnonzero(missing[end] == missing[self.start])
+        places = end[rows][:, None] + np.arange(-self.width, 0)  # before the start of a short window: not read
+        return at[np.maximum(places, 0)], rows
 
 
-def shard_hits(texts: list[bytes], phrases: Phrases) -> tuple[Words, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def shard_hits(texts: list[bytes], *blocks: Phrases) -> tuple[Words, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """For each of the (different) texts: starts and ends of occurrences, in
-    words of the text, and the number of the item of each."""
+    words of the text, and the number of the item of each, over all blocks."""
     words = Words([t.translate(LOWER) for t in texts], ALNUM, b"\n")
-    empty = np.empty(0, np.int64)
-    nothing = [(empty, empty, empty)] * len(texts)
-    if not len(words) or not len(phrases.lengths):
-        return words, nothing
-    vocabulary, symbols = np.unique(words.hashes(), return_inverse=True)
-    wanted, which = phrases.numbered(vocabulary)
-    if not len(which):
-        return words, nothing
-    index = FMIndex(symbols.astype(np.int64), words.doc, len(texts), len(vocabulary))
-    lo, hi = index.search(wanted, phrases.lengths[which])
-    count = hi - lo
-    found = np.repeat(np.arange(len(which)), count)
-    rows = np.arange(len(found)) - np.repeat(np.cumsum(count) - count, count) + lo[found]
-    start = index.locate(rows)
-    length, item = phrases.lengths[which][found], phrases.owner[which][found]
+    starts, lengths, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    index, before = None, 0
+    if len(words):
+        vocabulary, symbols = np.unique(words.hashes(), return_inverse=True)
+        for phrases in blocks:
+            wanted, which = phrases.numbered(vocabulary)
+            if len(which):
+                index = index or FMIndex(symbols.astype(np.int64), words.doc, len(texts), len(vocabulary))
+                lo, hi = index.search(wanted, phrases.lengths[which])
+                count = hi - lo
+                found = np.repeat(np.arange(len(which)), count)
+                starts.append(index.locate(np.arange(len(found)) - np.repeat(np.cumsum(count) - count, count) + lo[found]))
+                lengths.append(phrases.lengths[which][found].astype(np.int64))
+                items.append(phrases.owner[which][found].astype(np.int64) + before)
+            before += len(phrases.ids)
+    start, length, item = (np.concatenate(x) for x in (starts, lengths, items))
     order = np.argsort(start, kind="stable")
     start, length, item = start[order], length[order], item[order]
     cut = np.searchsorted(start, words.first)
@@ -246,56 +253,63 @@ def shard_hits(texts: list[bytes], phrases: Phrases) -> tuple[Words, list[tuple[
 HITS = "n_words long; spans array<struct<start:long,end:long>>; byte_spans array<struct<start:long,end:long>>; items array<string>"
 
 
-def _scan(phrases: Phrases):
+def _scan(blocks: list[Phrases]):
     """f(texts) -> the columns of HITS; the texts are one shard."""
+    names = [i for phrases in blocks for i in phrases.ids]
 
     def scan(texts: list) -> tuple[list, list, list, list]:
         data = [utf8(t) for t in texts]
         different = {t: k for k, t in enumerate(dict.fromkeys(data))}
-        words, hits = shard_hits(list(different), phrases)
+        words, hits = shard_hits(list(different), *blocks)
         answers = []
         for k, (start, end, item) in enumerate(hits):
             first, spans, offset = words.first[k], merged(start, end), words.offset[k]
             answers.append((
                 int(words.first[k + 1] - first), [{"start": a, "end": b} for a, b in spans],
                 [{"start": int(words.start[first + a] - offset), "end": int(words.end[first + b - 1] - offset)} for a, b in spans],
-                sorted(phrases.ids[i] for i in np.unique(item)),
+                sorted({names[i] for i in np.unique(item).tolist()} - {None}),
             ))
         return tuple([answers[different[t]][c] for t in data] for c in range(4))
 
     return scan
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text: str, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
-    """The items, read one partition at a time, in blocks of bounded bytes.  An
-    item longer than a block is a block of its own."""
-    block, size = [], 0
-    rows = benchmark.select(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text}`")).where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{text}`").isNotNull())
+def benchmark_passes(benchmark: DataFrame, id_col: str, text: str, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> Iterator[list[Phrases]]:
+    """The items, read one partition at a time, as blocks of bounded bytes, as
+    many as a pass takes.  An item longer than a block is a block of its own.
+    There is always a pass."""
+    blocks, block, size, total = [], [], 0, 0
+    rows = benchmark.select(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text}`").cast("string")).where(F.col(f"`{text}`").isNotNull())
     for item, body in rows.toLocalIterator():
-        if block and size + len(body) > limit:
-            yield block
+        n = len(body.encode("utf-8"))
+        if block and size + n > block_bytes:
+            blocks.append(Phrases(block, width))
             block, size = [], 0
+        if blocks and total + n > pass_bytes:
+            yield [*blocks, Phrases(block, width)] if block else blocks
+            blocks, block, size, total = [], [], 0, 0
         block.append((item, body))
-        size += len(body) + 64
-    yield block
+        size += n
+        total += n
+    yield [*blocks, Phrases(block, width)]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, keep_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, keep_text: bool = False, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """One row a document: id, n_words, spans and byte_spans (maximal removal
     spans, in words and in UTF-8 bytes of the text) and items (sorted ids)."""
-    spark = docs.sparkSession
-    source = narrow(docs, id_col, text).toDF("id", "text")
-    scan = lambda frame, carried, block: map_texts(frame, "text", carried, lambda p=Phrases(block, width): _scan(p), HITS)
-    blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
-    parts, block, more = [], next(blocks), next(blocks, None)
+    kept = [id_col, text] if keep_text else [id_col]
+    source = narrow(docs, id_col, text).toDF("id", "body")
+    scan = lambda frame, carried, blocks: map_texts(frame, "body", carried, lambda b=blocks: _scan(b), HITS)
+    passes = benchmark_passes(benchmark, item_id, item_text, width, block_bytes, pass_bytes)
+    parts, blocks, more = [], next(passes), next(passes, None)
+    names = [*kept, *free_names(kept, *(part.split(" ")[0] for part in HITS.split("; ")))]
     if more is None:
-        found = scan(source, ["id", "text"] if keep_text else ["id"], block)
-        return found.withColumnRenamed("id", id_col).withColumnRenamed("text", text)
-    # several blocks: each searches all documents, and their hits meet by row
+        return scan(source, ["id", "body"] if keep_text else ["id"], blocks).toDF(*names)
+    # several passes over all documents: their hits meet by row
     source = materialize(source.withColumn("rid", F.monotonically_increasing_id()))
-    while block is not None:
-        parts.append(materialize(scan(source, ["rid"], block)))
-        block, more = more, next(blocks, None)
+    while blocks is not None:
+        parts.append(materialize(scan(source, ["rid"], blocks)))
+        blocks, more = more, next(passes, None)
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
@@ -303,8 +317,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         F.max("n_words").alias("n_words"), *(_merge_spans(F.sort_array(F.flatten(F.collect_list(c)))).alias(c) for c in ("spans", "byte_spans")),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    out = source.select("rid", "id", *["text"] * keep_text).join(gathered, "rid")
-    return out.drop("rid").withColumnRenamed("id", id_col).withColumnRenamed("text", text)
+    return source.select("rid", "id", *["body"] * keep_text).join(gathered, "rid").drop("rid").toDF(*names)
 
 
 def _merge_spans(spans):
@@ -318,13 +331,13 @@ def _merge_spans(spans):
     return F.aggregate(spans, F.array().cast(kind), step)
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """docs, all columns, with the removal spans cut out of the texts (`n_chars`
     follows where it exists).  Documents that consist of nothing else go."""
     importable(docs.sparkSession)
     at, chars = docs.columns.index(text), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
-    block = next(blocks)
+    passes = benchmark_passes(benchmark, item_id, item_text, width, block_bytes, pass_bytes)
+    blocks = next(passes)
 
     def cut(batch, texts, found):
         """batch without found[k] = (n_words, spans, byte_spans, items) of texts[k]."""
@@ -337,8 +350,8 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
             out = out.set_column(chars, out.schema.field(chars), pa.array(sizes, out.schema.field(chars).type))
         return out.filter(pa.array([not g for g in gone]))
 
-    if next(blocks, None) is None:
-        scan = _scan(Phrases(block, width))
+    if next(passes, None) is None:
+        scan = _scan(blocks)
 
         def run(batches):
             for batch in batches:
@@ -347,10 +360,10 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
                     yield cut(piece, texts, list(zip(*scan(texts), strict=True)))
 
         return docs.mapInArrow(run, docs.schema)
-    rid = free_name(docs, "rid")
+    rid, own = free_names(docs, "rid", "found")
     rows = materialize(docs.withColumn(rid, F.monotonically_increasing_id()))
-    found = find_leaks(rows, benchmark, rid, text, item_id, item_text, width, block_bytes=block_bytes)
-    hits = found.where(F.size("spans") > 0).select(rid, F.struct("n_words", "spans", "byte_spans").alias("__found"))
+    found = find_leaks(rows.select(F.col(rid).alias("row"), F.col(f"`{text}`").alias("body")), benchmark, "row", "body", item_id, item_text, width, False, block_bytes, pass_bytes)
+    hits = found.where(F.size("spans") > 0).select(F.col("row").alias(rid), F.struct("n_words", "spans", "byte_spans").alias(own))
     width_ = len(docs.columns)
 
     def apply(batches):
@@ -359,7 +372,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
             plain = pa.RecordBatch.from_arrays(batch.columns[:width_], names=batch.schema.names[:width_])
             yield cut(plain, plain.column(at).to_pylist(), found)
 
-    return rows.join(hits, rid, "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__found").mapInArrow(apply, docs.schema)
+    return rows.join(hits, rid, "left").select(*(F.col(f"`{c}`") for c in docs.columns), own).mapInArrow(apply, docs.schema)
 
 
 def remove_spans(text: str | None, byte_spans) -> str | None:
@@ -371,7 +384,3 @@ def remove_spans(text: str | None, byte_spans) -> str | None:
         parts.append(data[at : s["start"]])
         at = s["end"]
     return (b"".join(parts) + data[at:]).decode("utf-8")
-
-
-def covered_words(n: int, spans) -> np.ndarray:
-    return coverage(n, np.array([s["start"] for s in spans], np.int64), np.array([s["end"] for s in spans], np.int64))

@@ -25,7 +25,7 @@ FROM docs d LEFT JOIN kept USING (doc_id)
 """
 
 LEAKS = f"""
-WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}') AS ws FROM benchmark),
 sized AS (SELECT item, ws, least(len(ws), {fmindex.WIDTH}) AS n FROM items WHERE len(ws) > 0),
 starts AS (SELECT item, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM sized),
 wanted AS (SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS win FROM starts),
@@ -35,7 +35,7 @@ spots AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM docs
 hits AS (SELECT doc_id, i, wanted.n, item FROM (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS win FROM spots) s JOIN wanted USING (n, win)),
 words AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS at FROM hits),
 counts AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+named AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN counts USING (doc_id) LEFT JOIN named USING (doc_id)
 """
