@@ -22,8 +22,10 @@ Copies that a pack does not own are never read: after step 2 they are garbage
 that `store` leaves out.
 
 Defined results: a null or empty text is a payload of 192 spaces; equal texts
-have equal values; ids of any type, null or repeated, give a row for each row;
-an empty table gives no rows; other columns are not read.
+have equal values; ids of any atomic type (binary ones too), null or repeated,
+give a row for each row, ids of other types raise; an empty table gives no rows;
+other columns are not read; an id column named as one of FIELDS keeps its name,
+and the field gets an underscore in front.
 """
 
 from __future__ import annotations
@@ -40,8 +42,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, narrow, splitmix, utf8, whole_documents
+from .common import free_names, join_counted, materialize, narrow, splitmix, utf8, whole_documents
 
 UNIT = 192
 RATE = 8000
@@ -243,11 +246,16 @@ class ChunkStore:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text"):
         source = narrow(docs, id_col, text).toDF("id", "text")
         self.id_col, self.id_type = id_col, source.schema["id"].dataType
-        made = source.withColumn("id", F.col("id").cast("string")).mapInPandas(_packs, _PACK)
+        if isinstance(self.id_type, (T.StructType, T.ArrayType, T.MapType)):
+            raise ValueError(f"ids of {self.id_type.simpleString()} can't be carried")
+        # ids travel as text
+        text_id = F.base64("id") if isinstance(self.id_type, T.BinaryType) else F.col("id").cast("string")
+        made = source.withColumn("id", text_id).mapInPandas(_packs, _PACK)
         self.packs = materialize(made.withColumn("pack", F.monotonically_increasing_id()))
-        names = self.packs.select("pack", "digests").mapInPandas(_names, "digest binary, pack long, at long")
-        owners = names.groupBy("digest").agg(F.min("pack").alias("owner"), F.count(F.lit(1)).alias("n_packs"))
-        self.names = names.join(owners, "digest")
+        names = materialize(self.packs.select("pack", "digests").mapInPandas(_names, "digest binary, pack long, at long"))
+        owners = materialize(names.groupBy("digest").agg(F.min("pack").alias("owner"), F.count(F.lit(1)).alias("n_packs")).withColumn("n", F.col("n_packs")))
+        # a chunk that all packs hold (that of empty texts, say) spreads over tasks
+        self.names = join_counted(names, owners, "digest", "n")
 
     def store(self) -> DataFrame:
         """(digest, bytes) of every chunk, once."""
@@ -276,5 +284,6 @@ class ChunkStore:
         every = pieces.where("digest is null").select(rows).unionByName(foreign.join(chunks, ["digest", "salt"]).select(rows))
         listed = every.groupBy("pack", "k").agg(F.max("id").alias("id"), F.sort_array(F.collect_list(F.struct("seq", "bytes"))).alias("pieces"))
         joined = listed.select("id", "pieces").mapInPandas(_join_pieces, _FINAL)
-        both = final.unionByName(joined)
-        return both.withColumn("id", F.col("id").cast(self.id_type)).withColumnRenamed("id", self.id_col)
+        own = F.unbase64("id") if isinstance(self.id_type, T.BinaryType) else F.col("id").cast(self.id_type)
+        both = final.unionByName(joined).select(own.alias("id"), *FIELDS)
+        return both.toDF(self.id_col, *free_names([self.id_col], *FIELDS))
