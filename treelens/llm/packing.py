@@ -16,7 +16,9 @@ size spreads over ranges, as rows are part of the sort key.
 
 Defined results: null and empty texts are the end id alone; repeated rows are
 packed once each; ties of the key go by row; ids of any type and null are
-carried; an empty table gives no rows; other columns are carried on request.
+carried; an empty table gives no rows; other columns are carried on request; an
+id or carried column named as one of PIECE keeps its name, and the new column
+gets an underscore in front.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, map_texts, materialize, partitions, splitmix
+from .common import columns_of, free_names, map_texts, materialize, partitions, splitmix
 
 LENGTH = 2048
 END_ID = 1
@@ -243,4 +245,4 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     schema = joined.select(*names).schema
     for c in PIECE:
         schema = schema.add(c, "binary" if c == "ids" else "long")
-    return joined.mapInArrow(_cut(at, length, schema.names, len(names)), schema).toDF(id_col, *carry, *PIECE)
+    return joined.mapInArrow(_cut(at, length, schema.names, len(names)), schema).toDF(id_col, *carry, *free_names([id_col, *carry], *PIECE))

@@ -11,7 +11,8 @@ group of copies makes a task larger.
 
 Defined results: a null key takes the hash of null (all such rows share a slot);
 repeated rows share a slot; an empty table gives no rows; other columns of the
-input are kept, `slot` and `shard` are replaced if they exist.
+input are kept, `slot` and `shard` are replaced if they exist, also where they
+are keys (the old values are hashed).
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 TABLE_SIZE = 65537
 MAX_TABLE_SIZE = 1_000_003
 
@@ -74,7 +77,9 @@ def table_frame(spark: SparkSession, shards: Sequence[str], size: int = TABLE_SI
 def assign_shards(df: DataFrame, shards: Sequence[str], *keys: str, size: int = TABLE_SIZE, weights: Sequence[int] | None = None) -> DataFrame:
     """df with `slot` and `shard`, placed by the values of the key columns."""
     table = table_frame(df.sparkSession, shards, size, weights)
-    placed = df.drop("slot", "shard").withColumn("slot", F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in keys)), F.lit(size)).cast("int"))
+    made = free_name(df, "made")
+    placed = df.withColumn(made, F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in keys)), F.lit(size)).cast("int"))
+    placed = placed.drop("slot", "shard").withColumnRenamed(made, "slot")
     # size rows at most (MAX_TABLE_SIZE): a bound that the input cannot change
     return placed.join(F.broadcast(table), "slot")
 

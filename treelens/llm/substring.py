@@ -22,8 +22,10 @@ any two of them collide is below n**2 / 2**65.
 
 Defined results: null and empty texts have no words; a row without an id never
 loses words and is never the smaller document; rows that share an id are one
-document for this purpose (each keeps what the others hold); ids are integers;
-an empty table gives no rows; other columns are not read.
+document for this purpose (each keeps what the others hold); ids are whole
+numbers (others raise); an empty table gives no rows; other columns are not
+read; an id column named as a new column keeps its name, and the new one gets an
+underscore in front.
 """
 
 from __future__ import annotations
@@ -36,8 +38,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACES, Words, coverage, materialize, merged, narrow, partitions, slices, utf8, window_hashes
+from .common import SPACES, Words, coverage, free_names, materialize, merged, narrow, partitions, slices, utf8, window_hashes
 
 WIDTH = 13
 BUCKET = 2_000_000
@@ -203,7 +206,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """One row a document: id, n_words, n_removed, kept (the kept words joined
     by one space) and spans (maximal removal intervals, in words)."""
     spark = docs.sparkSession
-    source = narrow(docs, id_col, text).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
+    source = narrow(docs, id_col, text).toDF("id", "text")
+    if not isinstance(source.schema["id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise ValueError(f"{id_col} is no column of whole numbers")
+    source = source.withColumn("id", F.col("id").cast("long"))
     packs = source.mapInArrow(_pack(width), "ids binary, n_known long, windows long, blob binary")
     packs = materialize(packs.withColumn("pack", F.monotonically_increasing_id()))
     total = packs.agg(F.sum("windows")).first()[0] or 0
@@ -214,4 +220,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     dealt = cells.repartitionById(buckets, F.col("bucket").cast("int"))
     marks = dealt.mapInPandas(_mark_buckets, "pack long, bucket long, bits binary")
     found = parts.groupBy("pack").cogroup(marks.groupBy("pack")).applyInPandas(_remove(width, buckets), RESULT)
-    return found.withColumnRenamed("id", id_col)
+    return found.toDF(id_col, *free_names([id_col], *found.columns[1:]))
