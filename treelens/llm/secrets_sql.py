@@ -30,7 +30,10 @@ located AS (
 live AS (
   SELECT * FROM spans WHERE kind = {secrets.OWNED} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
     AND len(list_distinct(string_split(v, ''))) >= {secrets.MIN_DISTINCT_CHARS}
-), few AS (SELECT v FROM live GROUP BY v HAVING count(DISTINCT coalesce(source, chr(0))) <= {secrets.MAX_OWNERS}),
+), few AS (
+  SELECT v FROM (SELECT doc_id, source, v FROM live UNION ALL SELECT doc_id, source, v FROM spans WHERE kind < {secrets.OWNED})
+  GROUP BY v HAVING count(DISTINCT coalesce(source, chr(0))) <= {secrets.MAX_OWNERS} AND count(DISTINCT {{'s': coalesce(source, chr(0)), 'd': coalesce(doc_id, -1)}}) <= {secrets.MAX_REPOS}
+),
 every AS (SELECT doc_id, kind, s, e FROM spans WHERE kind < {secrets.OWNED} UNION ALL SELECT doc_id, kind, s, e FROM live WHERE v IN (SELECT v FROM few))
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   sha256(coalesce(string_agg({_SPAN}, ',' ORDER BY s, kind) FILTER (kind < {secrets.OWNED}), '')) AS base_sha256,
