@@ -110,24 +110,35 @@ def test_suffix_array_and_ranks():
 ITEMS = [(0, PASSAGE), (1, "one"), (2, ""), (3, None), (4, "Alpha1 " + " ".join(PASSAGE.split()[5:16])), (5, PASSAGE), (None, "two"), (6, words(12, 5))]
 
 
-@pytest.mark.parametrize("block_bytes", [fmindex.BLOCK_BYTES, 300])
-def test_leaks_of_awkward_documents(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "pass_bytes"), [(fmindex.BLOCK_BYTES, fmindex.PASS_BYTES), (300, fmindex.PASS_BYTES), (300, 700)])
+def test_leaks_of_awkward_documents(spark, block_bytes, pass_bytes):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = fmindex.find_leaks(docs(spark), items, block_bytes=block_bytes, keep_text=True).collect()
+    got = fmindex.find_leaks(docs(spark), items, block_bytes=block_bytes, pass_bytes=pass_bytes, keep_text=True).collect()
     rows = awkward()
-    want = brute_leaks([r[1] for r in rows], [(str(i), t) for i, t in ITEMS if i is not None], 10)
+    # an item without an id hits words but has no name
+    want = [(n, hit, [i for i in found if i != "None"]) for n, hit, found in brute_leaks([r[1] for r in rows], [(str(i), t) for i, t in ITEMS], 10)]
     mine = sorted((key(r["doc_id"]), r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"]) for r in got)
-    assert mine == sorted((key(r[0]), *w) for r, w in zip(rows, want, strict=True))
+    assert mine == sorted((key(r[0]), *w) for r, w in zip(rows, want, strict=True)) and (key(7), 2, 1, []) in mine
     for r in got:
         left = alnum_words(fmindex.remove_spans(r["text"], r["byte_spans"]))
         assert len(left) == r["n_words"] - sum(s["end"] - s["start"] for s in r["spans"])
 
 
-@pytest.mark.parametrize("block_bytes", [fmindex.BLOCK_BYTES, 300])
-def test_remove_leaks_keeps_clean_rows_as_they_are(spark, block_bytes):
+def test_blocks_and_passes_of_the_benchmark(spark):
+    items = spark.createDataFrame([*ITEMS, (0, PASSAGE), (0, PASSAGE)], "item_id long, text string").coalesce(1)
+    count = lambda *sizes: [len(p) for p in fmindex.benchmark_passes(items, "item_id", "text", 10, *sizes)]
+    assert count() == [1] and len(count(300, 10**9)) == 1 and count(300, 10**9)[0] > 2 and len(count(300, 700)) == 2
+    # several rows of one id count once, whatever the blocks
+    for sizes in ((fmindex.BLOCK_BYTES, fmindex.PASS_BYTES), (300, 10**9), (300, 700)):
+        nine = next(r for r in fmindex.find_leaks(docs(spark), items, block_bytes=sizes[0], pass_bytes=sizes[1]).collect() if r["doc_id"] == 9)
+        assert nine["items"] == sorted(set(nine["items"])) and "0" in nine["items"]
+
+
+@pytest.mark.parametrize(("block_bytes", "pass_bytes"), [(fmindex.BLOCK_BYTES, fmindex.PASS_BYTES), (300, 700)])
+def test_remove_leaks_keeps_clean_rows_as_they_are(spark, block_bytes, pass_bytes):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     frame = docs(spark)
-    out = fmindex.remove_leaks(frame, items, block_bytes=block_bytes)
+    out = fmindex.remove_leaks(frame, items, block_bytes=block_bytes, pass_bytes=pass_bytes)
     assert out.columns == frame.columns
     rows = out.collect()
     assert len(rows) == len(awkward()) - 1  # the document "one" is nothing but a leak
