@@ -11,6 +11,14 @@ the documents are a written table, so a lost executor costs tasks, not stages.
    that consist of nothing else go.
 4. secret scans: base and owner-specific spans are replaced by a mark.
 5. packing: the rest as pieces of sequences along the Hilbert curve.
+
+Defined results: null and empty texts are clean, equal to each other (one of
+them stays), hold no passage and no secret, and are packed as an end id alone.
+A null id counts as the largest: its document stays only where its group has no
+other; repeated rows are copies of one another.  Labels without documents, of
+one kind only, or missing reject nothing; an empty benchmark removes nothing; an
+empty documents table gives no rows.  Further columns of documents are kept up
+to packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelens.llm import fmindex, nearcopies, packing, secrets, toxicity
-from treelens.llm.common import materialize
+from treelens.llm.common import drop_materialized, materialize, written
 from treelens.llm.queries import tokenizer_files
 
 
@@ -61,6 +69,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = written()
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        drop_materialized(before, but_last=1)  # what the stage wrote for itself, and its input
     return STAGES[-1][1](spark, docs, sf_dir)
