@@ -1,20 +1,29 @@
-"""Recursion deeper than a hundred levels, without the cost of its plans."""
+"""Recursion deeper than any cap, on a real chain."""
 
-from graphs import levels
+from graphs import prop
+from pyspark.sql import functions as F
 
+from treelens import Graph, parse_schema
 from treelens.operators.view import Forest
 from treelens.plans.query import query, select
 
+CHAIN = {"types": [{"name": "N", "properties": prop("v:int"), "edges": [{"name": "next", "target": "N", "reverse": "prev"}, {"name": "prev", "target": "N", "reverse": "next"}]}]}
 
-def test_recursion_has_no_default_cap(spark, monkeypatch):
-    reached = []
 
-    def hop(self, rows, type_name, s, level, rank, slot):
-        if self.max_depth is not None and level > self.max_depth:
-            return None
-        reached.append(level)
-        return rows if level < 1500 else None
+def test_recursion_has_no_cap(spark):
+    n = 1500
+    g = Graph(spark, parse_schema(CHAIN)).bind_nodes("N", spark.range(n).select("id", F.col("id").alias("v")))
+    g.bind_edges("N", "next", spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), distinct=True, one_target=True, one_source=True)
+    rows = Forest(g, query("N", select("next", sort=["-v"], recursive=True), where=[("id", "eq", 0)])).flat().collect()
+    assert [(r["id"], r["depth"], r["parent_id"]) for r in rows] == [(i, i, i - 1 if i else None) for i in range(n)]
 
-    monkeypatch.setattr(Forest, "_hop", hop)
-    Forest(levels(spark), query("L2", select("children", recursive=True)))
-    assert reached == list(range(1, 1501))
+
+def test_levels_of_many_sources_have_no_cap(spark):
+    n = 30  # each node leads to the next and the one after: many paths, one walk
+    g = Graph(spark, parse_schema(CHAIN)).bind_nodes("N", spark.range(n).select("id", F.col("id").alias("v")))
+    pairs = [(i, j) for i in range(n) for j in (i + 1, i + 2) if j < n]
+    g.bind_edges("N", "next", spark.createDataFrame(pairs, "src long, dst long"), distinct=True)
+    rows = Forest(g, query("N", select("next", sort=["v"], recursive=True), where=[("id", "eq", 0)])).flat().collect()
+    assert [(r["id"], r["depth"]) for r in rows] == [(i, i) for i in range(n)]
+    capped = Forest(g, query("N", select("next", sort=["v"], recursive=True), where=[("id", "eq", 0)]), max_depth=3).flat().collect()
+    assert max(r["depth"] for r in capped) == 3

@@ -1,5 +1,5 @@
 import pytest
-from graphs import blog, frame, levels, prop
+from graphs import BLOG, blog, frame, levels, prop
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -8,7 +8,7 @@ from treelens import ALL, Expansion, Forest, Graph, View, as_of, diff, log_frame
 from treelens.functions.ordering import numbered, reversed_keys, sort_keys
 from treelens.functions.predicates import compare, tag_of_type
 from treelens.operators.events import in_order, replay
-from treelens.operators.mutations import delete_nodes
+from treelens.operators.mutations import dangling_links, delete_nodes
 from treelens.operators.select import edge_targets, filtered, linked, roots
 from treelens.plans.query import Filter
 from treelens.schema import Sort
@@ -198,6 +198,86 @@ def test_view_window_and_clicks(spark):
     assert text["properties"] == '{"name":"r1"}' and text["has_children"]
 
 
+def test_places_and_paths(spark):
+    g = levels(spark)
+    q = query("Root", select("level1", select("level2", sort=["-name"]), select("extra", sort=["name"]), sort=["name"]), sort=["-name"])
+    v = View(g, q, limit=4)
+    v.expand_all()
+    rows = Forest(g, q).flat().collect()
+    assert [v.index_of(r["type"], r["id"]) for r in rows] == list(range(len(rows)))
+    assert v.node_at_path(1) == ("Root", 1) and v.node_at_path(1, ("level1", 1)) == ("L1", 11) and v.node_at_path(1, ("level1", 1), ("level2", 0)) == ("L2", 21)
+    assert v.path_to_index(1, ("level1", 1), ("level2", 0)) == [r["id"] for r in rows].index(21) and v.path_to_index(2) == len(rows) - 3
+    assert v.node_at_path(9) is None and v.node_at_path(1, ("level1", 2)) is None and v.node_at_path(1, ("extra", 0)) is None and v.path_to_index(1, ("level1", -1)) is None
+    assert v.visible_count() == 4
+    v.scroll_to(10**6)
+    assert v.visible_count() == 4 and v.offset == len(rows) - 4
+    v.set_limit(0)
+    assert v.visible_count() == 4
+    deep = Forest(g, query("L2", select("children", sort=["name"], recursive=True), where=[("id", "eq", 21)]))
+    assert [deep.index_of("L2", i) for i in (21, 22, 23, 24)] == [0, 1, 2, 3] and deep.id_at(21, [("children", 0), ("children", 0), ("children", 0)]) == ("L2", 24)
+
+
+def walk_once(roots, children):
+    """Depth first, each node once: (node, depth, parent)."""
+    out, seen = [], set()
+
+    def visit(n, depth, parent):
+        if n not in seen:
+            seen.add(n)
+            out.append((n, depth, parent))
+            for c in children.get(n, ()):
+                visit(c, depth + 1, n)
+
+    for r in roots:
+        visit(r, 0, None)
+    return out
+
+
+NET = {"types": [{"name": "N", "properties": prop("v:int top:bool"), "edges": [{"name": "down", "target": "N", "reverse": "up"}, {"name": "up", "target": "N", "reverse": "down"}]}]}
+
+
+@pytest.mark.parametrize(("seed", "tree"), [(s, t) for s in range(4) for t in (False, True)])
+def test_recursion_is_a_walk_that_shows_each_node_once(spark, seed, tree):
+    import random
+
+    rnd = random.Random(seed)
+    n = 14
+    value, top = [rnd.choice([None, 1, 2, 3]) for _ in range(n)], [rnd.random() < 0.3 for _ in range(n)]
+    pairs = {(rnd.randrange(n), d) for d in range(n) if rnd.random() < 0.9} if tree else {(rnd.randrange(n), rnd.randrange(n)) for _ in range(26)}
+    g = Graph(spark, parse_schema(NET)).bind_nodes("N", frame(spark, "id long, v long, top boolean", [(i, value[i], top[i]) for i in range(n)]))
+    g.bind_edges("N", "down", frame(spark, "src long, dst long", sorted(pairs)), one_source=tree)
+    order = lambda i: (value[i] is None, -(value[i] or 0), i)
+    children = {s: sorted((d for x, d in pairs if x == s), key=order) for s in range(n)}
+    got = [(r["id"], r["depth"], r["parent_id"]) for r in Forest(g, query("N", select("down", sort=["-v"], recursive=True), where=[("top", "eq", True)], sort=["-v"])).flat().collect()]
+    assert got == walk_once(sorted((i for i in range(n) if top[i]), key=order), children)
+    few = Forest(g, query("N", select("down", sort=["-v"], recursive=True), where=[("top", "eq", True)], sort=["-v"]), Expansion(all=True, depth=1)).flat().collect()
+    assert max((r["depth"] for r in few), default=0) <= 1
+
+
+def test_recursion_with_selections_below_it_and_virtual_edges(spark):
+    g = levels(spark)
+    q = query("L1", select("level2", select("children", recursive=True, sort=["name"]), sort=["name"], virtual=True), where=[("id", "eq", 12)])
+    rows = Forest(g, q).flat().collect()
+    assert [(r["type"], r["id"], r["depth"], r["parent_id"], r["edge"]) for r in rows] == [("L1", 12, 0, None, None), ("L2", 24, 1, 12, "level2"), ("L2", 21, 1, 12, "level2"), ("L2", 22, 2, 21, "children")]  # the hidden 23 is on the way already
+    q = query("L2", select("children", select("up", sort=["name"]), sort=["name"], recursive=True), where=[("id", "eq", 22)])
+    rows = Forest(g, q).flat().collect()
+    assert [(r["type"], r["id"], r["depth"]) for r in rows] == [("L2", 22, 0), ("L2", 23, 1), ("L2", 24, 2), ("L2", 21, 2), ("L1", 11, 3), ("L1", 12, 2)]
+    hidden = query("L2", select("children", sort=["name"], recursive=True), where=[("id", "eq", 21)], virtual=True)
+    assert [(r["id"], r["depth"], r["parent_id"]) for r in Forest(g, hidden).flat().collect()] == [(22, 0, None), (23, 1, 22), (24, 2, 23)]
+    opened = Expansion(frozenset({("L2", 21, "children"), ("L2", 23, "children")}))
+    q = query("L2", select("children", sort=["name"], recursive=True), where=[("id", "in", (21, 23))], sort=["name"])
+    assert [(r["id"], r["depth"]) for r in Forest(g, q, opened).flat().collect()] == [(23, 0), (24, 1), (21, 1), (22, 2)]
+
+
+def test_a_complete_graph_and_a_deep_chain_end(spark):
+    n = 12
+    every = [(a, b) for a in range(n) for b in range(a + 1)]
+    g = Graph(spark, parse_schema(BLOG)).bind_nodes("User", frame(spark, "id long, name string, age long, score double, active boolean", [(i, None, i, None, None) for i in range(n)]))
+    g.bind_edges("User", "friends", frame(spark, "src long, dst long", every))
+    rows = Forest(g, query("User", select("friends", sort=["age"], recursive=True), where=[("id", "eq", 0)])).flat().collect()
+    assert [(r["id"], r["depth"]) for r in rows] == [(i, i) for i in range(n)]
+
+
 def test_empty_graph(spark):
     g = Graph(spark, parse_schema(THREADS))
     assert Forest(g, query("Thread", select("stacks"))).flat().collect() == []
@@ -271,6 +351,66 @@ def test_live_view_follows_a_stream(spark, tmp_path):
         h.on("update", print)
 
 
+def test_live_view_goes_on_after_a_restart(spark, tmp_path):
+    """Stopped after every batch, and with batches run again: the events of a run without stops."""
+    from treelens.sources.shared import folders
+
+    q = query("Post", where=[("published", "eq", True)], sort=["-views"])
+    batches = [
+        [(1, "update", "Post", 10, {"views": "2000"}, None, None)],
+        [(2, "insert", "Post", 40, {"title": "n", "views": "1500", "published": "true"}, None, None), (3, "link", "User", 1, None, "posts", 40)],
+        [(4, "update", "User", 1, {"name": "Al"}, None, None)],
+        [(5, "delete", "Post", 10, None, None, None)],
+        [(6, "unlink", "Post", 40, None, "author", 1), (7, "update", "Post", 12, {"published": "true"}, None, None)],
+    ]
+
+    def run(path, make):
+        seen = []
+        live = None
+        for k, rows in enumerate(batches):
+            live = make(live, k, lambda e, b: seen.append((b, [(r["event"], r["id"], r["from_index"], r["to_index"]) for r in e.collect()])))
+            live.apply(log_frame(spark, rows), k)
+            assert live.versions() == [k - 1, k]
+        return seen, live
+
+    whole, one = run("a", lambda live, k, h: live or LiveView(blog(spark), q, h, height=2, path=f"file://{tmp_path}/a"))
+    fresh = lambda live, k, h: LiveView(blog(spark), q, h, height=2, path=f"file://{tmp_path}/b")
+    stopped, other = run("b", fresh)
+    assert stopped == whole and [b for b, _ in whole] == [0, 1, 2, 3, 4] and whole[2][1] == [] and whole[1][1][0][0] == "leave"
+    again = []
+    LiveView(blog(spark), q, lambda e, b: again.append((b, [(r["event"], r["id"], r["from_index"], r["to_index"]) for r in e.collect()])), height=2, path=f"file://{tmp_path}/b").apply(log_frame(spark, batches[4]), 4)
+    assert again == [whole[4]]
+    for t in ("Post", "User"):
+        assert sorted(map(repr, one.graph.nodes(t).collect())) == sorted(map(repr, other.graph.nodes(t).collect()))
+    assert sorted(map(tuple, other.graph.edges("User", "posts").pairs.collect())) == [(1, 11), (4, 12)]
+    # only what the last two versions name is left: comments were never touched
+    left = [n for v in folders(spark, f"file://{tmp_path}/b") if v.startswith("v") and v != "versions" for n in folders(spark, f"file://{tmp_path}/b/{v}")]
+    assert not any("Comment" in n and n.startswith("nodes") for n in left) and sum(n.startswith("window") for n in left) == 2
+
+
+def test_live_view_resumes_a_stream_from_its_checkpoint(spark, tmp_path):
+    from treelens.operators.mutations import LOG
+
+    seen, source = [], f"{tmp_path}/log"
+    rows = [(1, "update", "Post", 10, {"views": "2000"}, None, None), (2, "update", "Post", 12, {"published": "true", "views": "5000"}, None, None)]
+    for row in rows:
+        log_frame(spark, [row]).coalesce(1).write.mode("append").parquet(source)
+        live = LiveView(blog(spark), query("Post", where=[("published", "eq", True)], sort=["-views"]), lambda e, b: seen.append((b, [(r["event"], r["id"]) for r in e.collect()])), height=2, path=f"file://{tmp_path}/live")
+        live.activate(spark.readStream.schema(LOG).parquet(source), availableNow=True).awaitTermination(120)
+        live.unsubscribe()
+    assert seen == [(0, [("change", 10), ("move", 10)]), (1, [("leave", 11), ("enter", 12)])]
+
+
+def test_links_to_unknown_nodes_do_nothing(spark):
+    g = blog(spark)
+    log = log_frame(spark, [
+        (1, "link", "User", 1, None, "posts", 77), (2, "link", "User", 78, None, "posts", 10), (3, "link", "User", 3, None, "posts", 50), (4, "insert", "Post", 50, {"title": "late"}, None, None),
+        (5, "link", "User", 3, None, "posts", 50), (6, "delete", "Post", 12, None, None, None), (7, "link", "User", 1, None, "posts", 12), (8, "unlink", "User", 1, None, "posts", 999),
+    ])
+    assert sorted((r["seq"], r["src"], r["dst"]) for r in dangling_links(g, log).collect()) == [(1, 1, 77), (2, 78, 10), (3, 3, 50), (7, 1, 12)]
+    assert sorted(map(tuple, as_of(g, log).edges("User", "posts").pairs.collect())) == [(1, 10), (1, 11), (3, 50)]
+
+
 # ------------------------------------------------------------------------- sdk
 
 

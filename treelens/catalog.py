@@ -11,10 +11,10 @@ from pyspark.sql.window import Window
 
 from .functions.ordering import numbered, sort_keys
 from .operators.events import diff, window_state
-from .operators.mutations import LOG, as_of, delete_nodes, watch
+from .operators.mutations import LOG, as_of, dangling_links, delete_nodes, watch
 from .operators.rollups import with_fields
 from .operators.select import edge_targets, filtered, linked, roots
-from .operators.view import Expansion, Forest, clamp_offset
+from .operators.view import Expansion, Forest, View, clamp_offset
 from .plans.access import explain_query
 from .plans.query import Filter, analyze, parse_query, query, select
 from .schema import Sort, parse_schema
@@ -113,11 +113,11 @@ def filter_int_by_number(g):
     return filtered(g, "Part", [Filter("p_size", "gt", 25.5)]).select("id")
 
 
-@entry("SELECT p_partkey AS id FROM part WHERE p_size IS NULL")
+@entry("SELECT d.doc_id AS id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL")
 def filter_strict_tags(g):
-    """An int is below every number: `lte 25.5` holds for all, `gte` for none;
-    so together with a missing check only missing sizes are left."""
-    return filtered(g, "Part", [Filter("p_size", "lte", 25.5), Filter("p_size", "eq", None)], strict_tags=True).select("id")
+    """An int is below every number and null below every int: `lte -25.5` holds
+    for all, `gt -1` for ints of 0 and more; what is left lacks the field."""
+    return filtered(g, "Document", [Filter("quality", "lte", -25.5), Filter("quality", "lt", 0)], strict_tags=True).select("id")
 
 
 @entry("SELECT o_orderkey AS id, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 100000 AND o_orderpriority IS DISTINCT FROM '1-URGENT'")
@@ -194,12 +194,13 @@ def edge_targets_of_one(g):
     return df.withColumn("pos", (F.row_number().over(Window.partitionBy("src").orderBy(*order)) - 1).cast("long")).select("id", "pos")
 
 
-@entry("SELECT o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_custkey % 10 = o_orderkey % 10")
+@entry("""SELECT o_custkey AS src, o_orderkey AS dst, FALSE AS next FROM orders
+UNION ALL SELECT a.o_custkey, b.o_orderkey, TRUE FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 AND b.o_custkey = a.o_custkey""")
 def has_edge(g):
-    # asked: each order with the customers of the numbers around its own last digit
-    orders = g.nodes("Order").select(F.col("id").alias("dst"))
-    asked = orders.join(g.nodes("Customer").select(F.col("id").alias("src")).withColumn("digit", F.col("src") % 10), F.col("dst") % 10 == F.col("digit"))
-    return linked(g, "Customer", "orders", asked.select("src", "dst"))
+    # asked: each order's customer about it and about the next order
+    own = g.edges("Order", "customer").pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(False).alias("next"))
+    asked = own.unionByName(own.select("src", (F.col("dst") + 1).alias("dst"), F.lit(True).alias("next")))
+    return linked(g, "Customer", "orders", asked)
 
 
 @entry("SELECT o_custkey AS src, o_orderkey AS dst FROM orders")
@@ -264,9 +265,10 @@ def virtual_edge(g):
     return Forest(g, q).positions().select("type", "id", "parent_id", "edge", "depth", "pos")
 
 
-@entry("SELECT 'Order' AS type, o_orderkey AS id, CAST(0 AS INTEGER) AS depth, ROW_NUMBER() OVER (ORDER BY c_name, c_custkey, o_orderdate DESC NULLS LAST, o_orderkey) - 1 AS pos FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey <= 20")
+@entry("""SELECT 'Customer' AS type, CAST(c_custkey AS BIGINT) AS id, CAST(0 AS INTEGER) AS depth,
+  ROW_NUMBER() OVER (ORDER BY n_name DESC NULLS LAST, n_nationkey, c_acctbal DESC NULLS LAST, c_custkey) - 1 AS pos FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def virtual_root(g):
-    q = query("Customer", select("orders", sort=["-o_orderdate"]), where=[("id", "lte", 20)], sort=["c_name"], virtual=True)
+    q = query("Nation", select("customers", sort=["-c_acctbal"]), sort=["-n_name"], virtual=True)
     return Forest(g, q).positions().select("type", "id", "depth", "pos")
 
 
@@ -285,6 +287,94 @@ def recursive_chain(g):
     return Forest(g, q).positions().select("id", "parent_id", "depth", "pos")
 
 
+#: turns of a conversation lead to the next and to the one after
+SKIP_SCHEMA = {"types": [{"name": "Turn", "properties": [{"name": "turn", "type": "int"}], "edges": [{"name": "later", "target": "Turn", "reverse": "earlier"}, {"name": "earlier", "target": "Turn", "reverse": "later"}]}]}
+
+
+@entry("""WITH RECURSIVE r AS (
+  SELECT conv_id, turn, [conv_id] AS path FROM conversations WHERE turn = 0
+  UNION ALL SELECT c.conv_id, c.turn, list_append(r.path, -c.turn) FROM r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn IN (r.turn + 1, r.turn + 2)
+), places AS (SELECT conv_id, turn, min(path) AS path FROM r GROUP BY conv_id, turn)
+SELECT conv_id * 1000 + turn AS id, CASE len(path) WHEN 1 THEN NULL WHEN 2 THEN conv_id * 1000 ELSE conv_id * 1000 - path[len(path) - 1] END AS parent_id,
+  CAST(len(path) - 1 AS INTEGER) AS depth, ROW_NUMBER() OVER (ORDER BY path) - 1 AS pos FROM places""")
+def recursive_dag(g):
+    """Each turn is reached on many paths and stands at the first of its places."""
+    turns = g.nodes("Turn").select("id", "turn", "conv_id")
+    ahead = turns.select(F.col("id").alias("src"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    pairs = ahead.select("src", (F.col("src") + F.col("k")).alias("dst")).join(turns.select(F.col("id").alias("dst")), "dst", "left_semi")
+    dag = Graph(g.spark, parse_schema(SKIP_SCHEMA)).bind_nodes("Turn", turns).bind_edges("Turn", "later", pairs, distinct=True)
+    return Forest(dag, query("Turn", select("later", sort=["-turn"], recursive=True), where=[("turn", "eq", 0)])).positions().select("id", "parent_id", "depth", "pos")
+
+
+CHAIN_SCHEMA = {"types": [{"name": "Order", "properties": [{"name": "head", "type": "bool"}], "edges": [{"name": "next", "target": "Order", "reverse": "prev"}, {"name": "prev", "target": "Order", "reverse": "next"}]}]}
+
+
+@entry("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 200 > 0 THEN o_orderkey - 1 END AS parent_id, CAST(o_orderkey % 200 AS INTEGER) AS depth,
+  ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders""")
+def recursive_deep(g):
+    """Orders as chains of two hundred."""
+    orders = g.nodes("Order").select("id", (F.col("id") % 200 == 0).alias("head"))
+    pairs = orders.where("NOT head").select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
+    chain = Graph(g.spark, parse_schema(CHAIN_SCHEMA)).bind_nodes("Order", orders).bind_edges("Order", "next", pairs, distinct=True, one_target=True, one_source=True)
+    return Forest(chain, query("Order", select("next", recursive=True), where=[("head", "eq", True)])).positions().select("id", "parent_id", "depth", "pos")
+
+
+NEIGHBOUR_SCHEMA = {"types": [{"name": "Nation", "properties": [{"name": "n_name", "type": "string"}], "edges": [{"name": "neighbours", "target": "Nation", "reverse": "neighbours"}]}]}
+
+
+@entry("""WITH n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY n_regionkey ORDER BY n_name, n_nationkey) - 1 AS k, min(n_name) OVER (PARTITION BY n_regionkey) AS leader FROM nation)
+SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(k AS INTEGER) AS depth, ROW_NUMBER() OVER (ORDER BY leader, k) - 1 AS pos FROM n""")
+def recursive_symmetric(g):
+    """Nations of a region are neighbours of each other, and all are roots."""
+    nations, within = g.nodes("Nation"), g.edges("Nation", "region").pairs
+    pairs = within.join(within.select(F.col("src").alias("other"), "dst"), "dst").where("src <= other").select("src", F.col("other").alias("dst"))
+    net = Graph(g.spark, parse_schema(NEIGHBOUR_SCHEMA)).bind_nodes("Nation", nations).bind_edges("Nation", "neighbours", pairs)
+    return Forest(net, query("Nation", select("neighbours", sort=["n_name"], recursive=True), sort=["n_name"])).positions().select("id", "depth", "pos")
+
+
+# ------------------------------------------------------------- sorted edges
+
+#: customers' orders have an order of their own: the dearest first
+SORTED_SCHEMA = {
+    "types": [
+        {
+            "name": "Customer", "properties": [{"name": "c_name", "type": "string"}],
+            "edges": [{"name": "orders", "target": "Order", "reverse": "customer", "sort": {"property": "o_totalprice", "direction": "desc"}}],
+            "rollups": [{"name": "dearest", "traverse": {"edge": "orders", "property": "o_orderpriority"}}],
+        },
+        {
+            "name": "Order", "properties": [{"name": "o_totalprice", "type": "number"}, {"name": "o_orderstatus", "type": "string"}, {"name": "o_orderpriority", "type": "string"}],
+            "edges": [{"name": "customer", "target": "Customer", "reverse": "orders"}],
+        },
+    ]
+}
+
+
+def _sorted_graph(g: Graph) -> Graph:
+    out = Graph(g.spark, parse_schema(SORTED_SCHEMA)).bind_nodes("Customer", g.nodes("Customer")).bind_nodes("Order", g.nodes("Order"))
+    return out.bind_edges("Order", "customer", g.edges("Order", "customer").pairs, distinct=True, one_target=True)
+
+
+_DEAREST = "(SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) - 1 AS place FROM orders)"
+
+
+@entry(f"SELECT o_custkey AS src, o_orderkey AS id, place FROM {_DEAREST}")
+def edge_targets_sorted(g):
+    df, order = edge_targets(_sorted_graph(g), "Customer", "orders")
+    return df.select("src", "id", (F.row_number().over(Window.partitionBy("src").orderBy(*order)) - 1).cast("long").alias("place"))
+
+
+@entry(f"SELECT c_custkey AS id, o_orderpriority AS dearest FROM customer LEFT JOIN (SELECT * FROM {_DEAREST} WHERE place = 0) ON o_custkey = c_custkey")
+def rollup_traverse_sorted(g):
+    return with_fields(_sorted_graph(g), "Customer", ["dearest"]).select("id", "dearest")
+
+
+@entry(f"SELECT c_custkey AS id FROM customer JOIN (SELECT * FROM {_DEAREST} WHERE place = 0) ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
+def filter_cross_edge_first(g):
+    """A dotted path over an edge of many targets reads the first of them."""
+    return filtered(_sorted_graph(g), "Customer", [Filter("orders.o_orderstatus", "eq", "F")]).select("id")
+
+
 # --------------------------------------------------------------------- rollups
 
 
@@ -362,7 +452,8 @@ def view_total(g):
 
 @entry(f"SELECT id, pos FROM ({NESTED_SQL}) WHERE type = 'Customer' AND id = 77")
 def view_index_of(g):
-    return Forest(g, parse_query(NESTED)).positions().where("type = 'Customer' AND id = 77").select("id", "pos")
+    at = Forest(g, parse_query(NESTED)).index_of("Customer", 77)
+    return g.spark.createDataFrame([(77, at)], "id long, pos long")
 
 
 @entry(f"SELECT type, id, pos FROM ({NESTED_SQL}) WHERE pos >= 40 AND pos < 65")
@@ -370,6 +461,93 @@ def view_window(g):
     return Forest(g, parse_query(NESTED)).window(40, 25).select("type", "id", "pos")
 
 
+def _opened(g, limit: int = 0) -> View:
+    """Regions with all nations and customers, opened by clicks on two regions and a nation of each."""
+    v = View(g, parse_query(NESTED), limit)
+    for region, nation in ((1, 1), (3, 6)):
+        v.expand("Region", region, "nations")
+        v.expand("Nation", nation, "customers")
+    return v
+
+
+_OPEN = f"(SELECT *, ROW_NUMBER() OVER (ORDER BY pos) - 1 AS place FROM ({NESTED_SQL}) WHERE depth = 0 OR (depth = 1 AND parent_id IN (1, 3)) OR (depth = 2 AND parent_id IN (1, 6) AND parent_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3))))"
+_SHUT = f"(SELECT *, ROW_NUMBER() OVER (ORDER BY pos) - 1 AS place FROM ({NESTED_SQL}) WHERE depth = 0 OR (depth = 1 AND parent_id = 3) OR (depth = 2 AND parent_id = 6 AND parent_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3)))"
+
+
+@entry(f"SELECT type, id, parent_id, depth, place AS pos FROM {_OPEN}")
+def view_expand(g):
+    return _opened(g).items().select("type", "id", "parent_id", "depth", "pos")
+
+
+@entry(f"SELECT type, id, parent_id, depth, place AS pos FROM {_SHUT}")
+def view_collapse(g):
+    """Collapsing a region forgets its nation too: it stays shut when the region opens again."""
+    v = _opened(g)
+    v.collapse("Region", 1, "nations")
+    return v.items().select("type", "id", "parent_id", "depth", "pos")
+
+
+@entry(f"SELECT type, id, depth, pos FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY pos) - 1 AS p FROM ({NESTED_SQL}) WHERE depth < 1 OR (depth = 1 AND parent_id IN (1, 3)) OR (depth = 2 AND parent_id = 6 AND parent_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3))) AS v(type, id, x, depth, y, pos)")
+def view_toggle(g):
+    v = _opened(g)
+    shut, opened = v.toggle("Region", 1, "nations"), v.toggle("Region", 1, "nations")
+    assert not shut and opened and v.is_expanded("Region", 1, "nations") and not v.is_expanded("Nation", 1, "customers")
+    return v.items().select("type", "id", "depth", "pos")
+
+
+@entry("SELECT 'Region' AS type, CAST(r_regionkey AS BIGINT) AS id, ROW_NUMBER() OVER (ORDER BY r_name, r_regionkey) - 1 AS pos FROM region")
+def view_collapse_all(g):
+    v = _opened(g)
+    v.expand_all()
+    v.collapse_all()
+    return v.items().select("type", "id", "pos")
+
+
+@entry(f"SELECT type, id, pos FROM ({NESTED_SQL}) WHERE pos >= 52 AND pos < 62")
+def view_scroll_by(g):
+    v = View(g, parse_query(NESTED), 10)
+    v.expand_all()
+    v.scroll_to(60)
+    v.scroll_by(-8)
+    return v.items().select("type", "id", "pos")
+
+
+@entry(f"SELECT type, id, pos FROM (SELECT *, count(*) OVER () AS n, max(CASE WHEN type = 'Customer' AND id = 77 THEN pos END) OVER () AS there FROM ({NESTED_SQL})) WHERE pos >= least(there, n - 10) AND pos < least(there, n - 10) + 10")
+def view_scroll_to_node(g):
+    v = View(g, parse_query(NESTED), 10)
+    v.expand_all()
+    v.scroll_to_node("Customer", 77)
+    return v.items().select("type", "id", "pos")
+
+
+@entry(f"SELECT type, id, pos FROM ({NESTED_SQL}) WHERE pos IN (0, 17, 100)")
+def view_node_at(g):
+    v = View(g, parse_query(NESTED))
+    v.expand_all()
+    rows = [v.node_at(k) for k in (0, 17, 100)]
+    return g.spark.createDataFrame([(r["type"], r["id"], r["pos"]) for r in rows], "type string, id long, pos long")
+
+
+@entry(f"""WITH n AS (SELECT n_nationkey, ROW_NUMBER() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC, n_nationkey) - 1 AS k FROM nation WHERE n_regionkey = 2),
+c AS (SELECT c_custkey, ROW_NUMBER() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) - 1 AS k FROM customer WHERE c_nationkey = (SELECT n_nationkey FROM n WHERE k = 1))
+SELECT type, id, pos FROM ({NESTED_SQL}) WHERE (type = 'Region' AND id = 2) OR (type = 'Nation' AND id = (SELECT n_nationkey FROM n WHERE k = 1)) OR (type = 'Customer' AND id = (SELECT c_custkey FROM c WHERE k = 3))""")
+def view_paths(g):
+    """What stands at paths of edges and numbers, and where."""
+    v = View(g, parse_query(NESTED))
+    v.expand_all()
+    paths = [(), (("nations", 1),), (("nations", 1), ("customers", 3))]
+    rows = [(*v.node_at_path(2, *p), v.path_to_index(2, *p)) for p in paths]
+    return g.spark.createDataFrame(rows, "type string, id long, pos long")
+
+
+@entry(f"SELECT count(*) AS total, greatest(count(*) - 10, 0) AS at, least(count(*), 10) AS shown, 4 AS expanded FROM {_OPEN}")
+def view_stats(g):
+    v = _opened(g, 10)
+    v.scroll_to(10**9)
+    s = v.stats()
+    return g.spark.createDataFrame([(s["total"], s["offset"], v.visible_count(), s["expanded"])], "total long, at long, shown long, expanded int")
+
+
 @entry("""SELECT r_name || '|' || n_name AS names, CAST(n_nationkey AS BIGINT) AS id FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def view_properties(g):
     forest = Forest(g, query("Region", select("nations")))
@@ -453,10 +631,12 @@ for _kind, _where in (
     ORACLE_SQL[f"events_{_kind}"] = f"WITH a AS {_WINDOW.format(T1)}, b AS {_WINDOW.format(T2)} SELECT coalesce(a.id, b.id) AS id, a.pos AS from_index, b.pos AS to_index FROM a FULL JOIN b ON a.id = b.id WHERE {_where}"
 
 
-@entry("""SELECT o_orderkey AS seq, 'link' AS event, 'Order' AS type, o_orderkey AS id, 'customer' AS edge, o_custkey AS other_id FROM orders WHERE o_orderkey < 500
-UNION ALL SELECT o_orderkey, 'link', 'Customer', o_custkey, 'orders', o_orderkey FROM orders WHERE o_orderkey < 500""")
+@entry("""SELECT CAST(c_custkey AS BIGINT) AS seq, 'link' AS event, 'Nation' AS type, CAST(c_nationkey AS BIGINT) AS id, 'customers' AS edge, c_custkey AS other_id FROM customer
+UNION ALL SELECT c_custkey, 'link', 'Customer', c_custkey, 'nation', CAST(c_nationkey AS BIGINT) FROM customer""")
 def node_watch_link(g):
-    return _watched(g, g.edges("Order", "customer").pairs.where("src < 500"))
+    """Links written from the end of few nodes: hot ones."""
+    pairs = g.edges("Customer", "nation").pairs
+    return watch(g.schema, pairs.select(*_log(F.col("src"), "link", "Nation", F.col("dst"), edge="customers", target=F.col("src")))).select("seq", "event", "type", "id", "edge", "other_id")
 
 
 @entry("""SELECT o_orderkey AS seq, 'link' AS event, 'Order' AS type, o_orderkey AS id, 'customer' AS edge, o_custkey AS other_id FROM orders
@@ -465,11 +645,60 @@ def node_watch_link_all(g):
     return _watched(g, g.edges("Order", "customer").pairs)
 
 
+def _log(seq, op: str, type_name: str, node, props=None, edge: str | None = None, target=None) -> list:
+    """The columns of a log row."""
+    none = F.lit(None)
+    return [
+        seq.cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(type_name).alias("type"), node.alias("id"),
+        (none if props is None else props).cast("map<string,string>").alias("props"), F.lit(edge).cast("string").alias("edge"), (none if target is None else target).cast("long").alias("target"),
+    ]
+
+
 def _watched(g: Graph, pairs: DataFrame) -> DataFrame:
-    log = pairs.select(F.col("src").alias("seq"), F.lit("link").alias("op"), F.lit("Order").alias("type"), F.col("src").alias("id"), F.lit(None).cast("map<string,string>").alias("props"), F.lit("customer").alias("edge"), F.col("dst").alias("target"))
+    log = pairs.select(*_log(F.col("src"), "link", "Order", F.col("src"), edge="customer", target=F.col("dst")))
     return watch(g.schema, log).select("seq", "event", "type", "id", "edge", "other_id")
 
 
+@entry("""SELECT o_orderkey * 3 AS seq, 'change' AS event, 'Order' AS type, o_orderkey AS id, NULL AS edge, NULL AS other_id FROM orders
+UNION ALL SELECT o_orderkey * 3 + 1, 'unlink', 'Order', o_orderkey, 'customer', o_custkey FROM orders
+UNION ALL SELECT o_orderkey * 3 + 1, 'unlink', 'Customer', o_custkey, 'orders', o_orderkey FROM orders
+UNION ALL SELECT o_orderkey * 3 + 2, 'delete', 'Order', o_orderkey, NULL, NULL FROM orders""")
+def node_watch_kinds(g):
+    """Every order is changed, loses its customer and is deleted."""
+    pairs = g.edges("Order", "customer").pairs
+    at = F.col("src") * 3
+    log = pairs.select(*_log(at, "update", "Order", F.col("src"), F.create_map(F.lit("o_orderstatus"), F.lit("X"))))
+    log = log.unionByName(pairs.select(*_log(at + 1, "unlink", "Order", F.col("src"), edge="customer", target=F.col("dst"))))
+    log = log.unionByName(pairs.select(*_log(at + 2, "delete", "Order", F.col("src"))))
+    return watch(g.schema, log).select("seq", "event", "type", "id", "edge", "other_id")
+
+
+@entry("""SELECT o_custkey AS src, o_orderkey AS dst FROM orders
+UNION SELECT o_custkey + 1, o_orderkey FROM orders WHERE o_custkey + 1 IN (SELECT c_custkey FROM customer)""")
+def link_log(g):
+    """Each order is linked to the next customer too, from the customer's end,
+    twice; links to customers that don't exist do nothing."""
+    pairs = g.edges("Order", "customer").pairs
+    twice = pairs.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    log = twice.select(*_log(F.col("src") * 2 + F.col("k"), "link", "Customer", F.col("dst") + 1, edge="orders", target=F.col("src")))
+    return as_of(g, log).edges("Customer", "orders").pairs.select("src", "dst")
+
+
+@entry("SELECT o_orderkey AS seq, 'Customer' AS type, 'orders' AS edge, o_custkey + 1 AS src, o_orderkey AS dst FROM orders WHERE o_custkey + 1 NOT IN (SELECT c_custkey FROM customer)")
+def link_dangling(g):
+    pairs = g.edges("Order", "customer").pairs
+    log = pairs.select(*_log(F.col("src"), "link", "Customer", F.col("dst") + 1, edge="orders", target=F.col("src")))
+    return dangling_links(g, log)
+
+
+@entry("SELECT o_orderkey AS id, CASE WHEN c_acctbal < 0 THEN 'in debt' ELSE c_name END AS customer_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def set_property(g):
+    """One property of some nodes is set; the fields derived from it follow."""
+    poor = g.nodes("Customer").where("c_acctbal < 0")
+    log = poor.select(*_log(F.col("id"), "update", "Customer", F.col("id"), F.create_map(F.lit("c_name"), F.lit("in debt"))))
+    return with_fields(as_of(g, log), "Order", ["customer_name"]).select("id", "customer_name")
+
+
 @entry("SELECT CAST(n_nationkey AS BIGINT) AS id, count(c_custkey) AS customer_count FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON c_nationkey = n_nationkey GROUP BY 1")
 def delete_cascade(g):
     poor = filtered(g, "Customer", [Filter("c_acctbal", "lt", 0.0)]).select("id")

@@ -8,6 +8,7 @@ each property and of each pair; one combined aggregation by key, then a join."""
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,9 +78,38 @@ def canonical_links(graph: Graph, log: DataFrame, type_name: str, edge: str) ->
     return ahead.unionByName(back)
 
 
+def _ends(graph: Graph, log: DataFrame, rows: DataFrame, type_name: str, end: str) -> DataFrame:
+    """rows (with seq) and `known_<end>`: whether the node in the column `end`
+    exists at that point: in the base or inserted before, and not deleted before."""
+    own = log.where((F.col("type") == type_name) & F.col("op").isin("insert", "delete")).groupBy(F.col("id").alias(end)).agg(
+        F.min(F.when(F.col("op") == "insert", F.col("seq"))).alias("__born"), F.min(F.when(F.col("op") == "delete", F.col("seq"))).alias("__died"),
+    )
+    base = graph.nodes(type_name).select(F.col("id").alias(end), F.lit(True).alias("__base"))
+    born = F.coalesce("__base", F.col("__born") < F.col("seq"), F.lit(False))
+    found = rows.join(base, end, "left").join(own, end, "left")
+    return found.withColumn(f"known_{end}", born & F.coalesce(F.col("__died") > F.col("seq"), F.lit(True))).drop("__base", "__born", "__died")
+
+
+def _checked_links(graph: Graph, log: DataFrame, type_name: str, edge: str) -> DataFrame:
+    """canonical_links() and `fits`: a link fits if both ends exist."""
+    links = canonical_links(graph, log, type_name, edge)
+    links = _ends(graph, log, _ends(graph, log, links, type_name, "src"), graph.schema.edge(type_name, edge).target, "dst")
+    return links.select("src", "dst", "seq", "op", ((F.col("op") == "unlink") | (F.col("known_src") & F.col("known_dst"))).alias("fits"))
+
+
+def dangling_links(graph: Graph, log: DataFrame) -> DataFrame:
+    """(seq, type, edge, src, dst) of the links of a log whose ends don't both
+    exist when they are written: errors, which as_of() leaves out."""
+    parts = []
+    for type_name, edge in graph.edge_names():
+        bad = _checked_links(graph, log, type_name, edge).where(~F.col("fits"))
+        parts.append(bad.select("seq", F.lit(type_name).alias("type"), F.lit(edge).alias("edge"), "src", "dst"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _pairs(graph: Graph, log: DataFrame, type_name: str, edge: str) -> EdgePairs:
     e = graph.schema.edge(type_name, edge)
-    last = canonical_links(graph, log, type_name, edge).groupBy("src", "dst").agg(F.max_by("op", "seq").alias("op"))
+    last = _checked_links(graph, log, type_name, edge).where("fits").groupBy("src", "dst").agg(F.max_by("op", "seq").alias("op"))
     base = graph.edges(type_name, edge).pairs.withColumn("__base", F.lit(1))
     both = base.join(last, ["src", "dst"], "full_outer").where((F.col("op") == "link") | (F.col("op").isNull() & F.col("__base").isNotNull()))
     kept = both.select("src", "dst")
@@ -90,7 +120,8 @@ def _pairs(graph: Graph, log: DataFrame, type_name: str, edge: str) -> EdgePairs
 
 def as_of(graph: Graph, log: DataFrame, seq: int | None = None) -> Graph:
     """The graph after all log rows up to seq (None: all).  Deleting a node
-    takes its edges with it; ids are not used again."""
+    takes its edges with it; ids are not used again.  A link between nodes that
+    don't both exist at its point does nothing (dangling_links() lists them)."""
     if seq is not None:
         log = log.where(F.col("seq") <= seq)
     # functions: a query plans only the types and edges that it reads

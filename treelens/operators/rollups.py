@@ -28,10 +28,6 @@ def with_fields(graph: Graph, type_name: str, names: Iterable[str] | None = None
     return df
 
 
-def rollup_type(graph: Graph, type_name: str, name: str):
-    return with_fields(graph, type_name, [name]).schema[name].dataType
-
-
 def _join(graph: Graph, df: DataFrame, type_name: str, r: Rollup) -> DataFrame:
     values = rollup_values(graph, type_name, r).withColumnRenamed("src", "id")
     out = df.join(values, "id", "left")

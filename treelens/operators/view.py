@@ -9,22 +9,34 @@ sort over all groups is the depth-first order.  It needs no rank within a
 parent: a parent with a third of all children is no task of its own, and a
 window at the top is a top-k.
 
+Below a recursive edge the levels are not known beforehand.  There a row has one
+column for all of them, o{L}_..._p: an array of the place of the row that it
+started from, then the edge's rank and the node's place in the edge's order, a
+pair a level.  Arrays sort with prefixes first, which is depth first again.
+
 A node stands once in a view, at its first place in that order.  Only queries
-that can reach a node twice pay for this (one aggregation by node)."""
+that can reach a node twice pay for this (one aggregation by node).  Recursion
+keeps one place a node while it goes on: a level's rows continue only where they
+are new or come before the place known so far.  So a graph of many paths costs
+its edges a level, not its paths, and cycles end by themselves; there is no cap
+on levels.  An edge whose targets have one source each (a tree or a chain) is
+followed by doubling: levels in rounds of their logarithm."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import numbered, sort_column
+from ..functions.ordering import numbered, sort_column, sort_keys
 from ..plans.query import Query, Selection, analyze, children_of, in_edge_order
 from ..schema import Schema, Sort
 from ..sources.graph import Graph
-from ..sources.shared import materialize
+from ..sources.shared import keep_until_exit, materialize, shared_dir
 from .rollups import with_fields
 from .select import filtered, roots
 
@@ -48,12 +60,6 @@ class Expansion:
 ALL = Expansion(all=True)
 
 
-@dataclass
-class _Level:
-    frame: DataFrame
-    order: list[Column]
-
-
 def _order_names(level: int, slot: str, sorts: Sequence[Sort]) -> list[tuple[str, bool]]:
     return [(f"o{level}_{slot}_{k}", s.descending) for k, s in enumerate(sorts)]
 
@@ -66,6 +72,22 @@ def _keyed(df: DataFrame, level: int, slot: str, sorts: Sequence[Sort], rank: in
     ]
 
 
+def _states(schema: Schema, type_name: str, s: Selection) -> tuple[list[tuple[str, Selection]], list[list[tuple[int, int]]]]:
+    """The selections that rows below a recursive one can stand for, each with
+    the type that it starts from, s first; and what follows each: (rank, which)."""
+    own: list[tuple[str, Selection]] = [(type_name, s)]
+    after: list[list[tuple[int, int]]] = []
+    for source, x in own:  # grows while it is walked
+        target = schema.edge(source, x.edge).target
+        follows = []
+        for rank, below in enumerate(in_edge_order(children_of(x)), 1):
+            if (target, below) not in own:
+                own.append((target, below))
+            follows.append((rank, own.index((target, below))))
+        after.append(follows)
+    return own, after
+
+
 class Forest:
     """All visible rows of a query under an expansion."""
 
@@ -102,21 +124,19 @@ class Forest:
     def _below(self, rows: DataFrame, type_name: str, selections: Iterable[Selection], level: int, path: str) -> None:
         """Add what the selections lead to from rows (nodes of type_name).
         path: the ranks of the edges so far, which name the order's columns."""
-        # a stack, not calls: a recursive edge goes on until a level is empty
-        todo = [(rows, type_name, s, level, rank, path) for rank, s in reversed([*enumerate(in_edge_order(selections), 1)])]
-        while todo:
-            rows, type_name, s, level, rank, path = todo.pop()
+        for rank, s in enumerate(in_edge_order(selections), 1):
             slot = f"{path}{rank}x"
+            if s.recursive:
+                self._recur(rows, type_name, s, level + 1, rank, slot)
+                continue
             reached = self._hop(rows, type_name, s, level + 1, rank, slot)
             if reached is not None:
-                target = self.graph.schema.edge(type_name, s.edge).target
-                todo += [(reached, target, below, level + 1, k, slot) for k, below in reversed([*enumerate(in_edge_order(children_of(s)), 1)])]
+                self._below(reached, self.graph.schema.edge(type_name, s.edge).target, s.selections, level + 1, slot)
 
     def _hop(self, rows: DataFrame, type_name: str, s: Selection, level: int, rank: int, slot: str) -> DataFrame | None:
         graph, schema = self.graph, self.graph.schema
         edge = schema.edge(type_name, s.edge)
         bound = graph.edges(type_name, s.edge)
-        recursive = s.recursive
         if self.max_depth is not None and level > self.max_depth:
             return None
         if self.expansion.depth is not None and not s.virtual:
@@ -134,14 +154,9 @@ class Forest:
             "id", F.col("type").alias("__type"), F.col("depth").alias("__depth"),
             F.col("parent_type").alias("__pt"), F.col("parent_id").alias("__pi"), F.col("edge").alias("__edge"),
             (F.col("__hidden") if "__hidden" in parents.columns else F.lit(False)).alias("__hidden"),
-            *(c for c in parents.columns if c in self._keys or c == "__trail"),
+            *(c for c in parents.columns if c in self._keys),
         )
         joined = seen.join(pairs, "id").join(keys, "__id")
-        if recursive or "__trail" in joined.columns:
-            trail = F.col("__trail") if "__trail" in joined.columns else F.array(F.concat_ws(":", "__type", F.col("id").cast("string")))
-            here = F.concat(F.lit(edge.target + ":"), F.col("__id").cast("string"))
-            joined = joined.where(~F.array_contains(trail, here)).withColumn("__trail", F.array_append(trail, here))
-            self._repeats = True
         if not bound.one_source or edge.target in self._types:
             self._repeats = True
         hidden = F.col("__hidden")
@@ -150,29 +165,144 @@ class Forest:
             F.when(hidden, F.col("__pt")).otherwise(F.col("__type")).alias("parent_type"), F.when(hidden, F.col("__pi")).otherwise(F.col("id")).alias("parent_id"),
             F.when(hidden, F.col("__edge")).otherwise(F.lit(s.edge)).alias("edge"),
             (F.col("__depth") + (0 if s.virtual else 1)).alias("depth"), F.lit(s.virtual).alias("__hidden"),
-            *(c for c in joined.columns if c in self._keys or c == "__trail"),
+            *(c for c in joined.columns if c in self._keys),
         )
         if self.query.virtual and level == 1 and not s.virtual:
             out = out.withColumns({"parent_type": F.lit(None).cast("string"), "parent_id": F.lit(None).cast("long")})
-        if recursive:
-            out = materialize(out)  # each level once: the next one and the test for its end read it
-            if out.isEmpty():
-                return None
         if not s.virtual:
             self._parts.append(out.drop("__hidden"))
             self._types.append(edge.target)
         return out
 
+    # ----------------------------------------------------------- recursion
+
+    def _recur(self, rows: DataFrame, type_name: str, s: Selection, level: int, rank: int, slot: str) -> None:
+        """Add all that a recursive selection leads to from rows."""
+        schema = self.graph.schema
+        self._keys[f"o{level}_e"], self._keys[f"o{level}_{slot}_p"] = (level, 0, "", False), (level, 1, slot, False)
+        most = None if self.max_depth is None else self.max_depth - level + 1
+        hidden = F.col("__hidden") if "__hidden" in rows.columns else F.lit(False)
+        starts = numbered(rows.withColumn("__hidden", hidden), [c for n, c in self._sorted() if n in rows.columns], "__start")
+        own, after = _states(schema, type_name, s)
+        target = schema.edge(type_name, s.edge).target
+        tree = type_name == target and not s.selections and not s.virtual and self.graph.edges(type_name, s.edge).one_source
+        found = self._doubled(starts, type_name, s, most) if tree else self._leveled(starts, own, after, level, most)
+        kept = [c for c in rows.columns if c in self._keys]
+        origin = starts.select(F.col("__start").alias("__from"), *kept, *((F.col(c).alias(f"__s_{c}") for c in ("parent_type", "parent_id", "edge", "depth", "__hidden"))))
+        out = found.withColumn("__from", F.element_at("__path", 1)).join(origin, "__from")
+        if tree:  # depths and the parents that hidden starts hand on
+            first = F.size("__path") == 3
+            for c in ("parent_type", "parent_id", "edge"):
+                out = out.withColumn(c, F.when(first & F.col("__s___hidden"), F.col(f"__s_{c}")).otherwise(F.col(c)))
+            out = out.withColumn("depth", (F.col("__s_depth") + (F.size("__path") - 1) / 2).cast("int"))
+            if self.query.virtual and level == 1:
+                out = out.withColumns({c: F.when(~first, F.col(c)) for c in ("parent_type", "parent_id")})
+            if self.expansion.depth is not None:
+                out = out.where(F.col("depth") <= self.expansion.depth)
+        self._parts.append(out.select(*BASE, F.lit(rank).alias(f"o{level}_e"), F.col("__path").alias(f"o{level}_{slot}_p"), *kept))
+        self._types += [schema.edge(t, x.edge).target for t, x in own if not x.virtual]
+        self._repeats = True
+
+    def _steps(self, type_name: str, s: Selection) -> DataFrame:
+        """(src, dst, pos) of the edges that a selection follows; pos is the
+        place of dst among all targets in the selection's order."""
+        graph = self.graph
+        bound = graph.edges(type_name, s.edge)
+        targets = filtered(graph, graph.schema.edge(type_name, s.edge).target, s.filters, [x.field for x in s.sorts], self.strict)
+        if s.sorts:
+            targets = numbered(targets, sort_keys(s.sorts)).select(F.col("id").alias("dst"), "pos")
+        else:
+            targets = targets.select(F.col("id").alias("dst"), F.col("id").alias("pos"))
+        pairs = bound.pairs
+        if not self.expansion.all:
+            wanted = self.expansion.frame(graph, type_name, s.edge).withColumnRenamed("parent_id", "src")
+            pairs = pairs.join(F.broadcast(wanted), "src", "left_semi")  # as many rows as a user expanded
+        return materialize(pairs.join(targets, "dst").select("src", "dst", "pos"))
+
+    def _doubled(self, starts: DataFrame, type_name: str, s: Selection, most: int | None) -> DataFrame:
+        """Rows below starts along an edge of one source.  A node knows the way
+        down from an ancestor and the first of the starts on it; each round it
+        takes in what that ancestor knows, so that ways double."""
+        first = starts.groupBy(F.col("id").alias("src")).agg(F.min("__start").alias("at"))
+        steps = self._steps(type_name, s).join(first, "src", "left")
+        way = F.array(F.lit(1).cast("long"), F.col("pos"))
+        ways = materialize(steps.select(F.col("dst").alias("node"), "src", F.col("src").alias("up"), way.alias("way"), "at", F.when(F.col("at").isNotNull(), way).alias("below")))
+        while True:
+            upper = ways.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("way").alias("way2"), F.col("at").alias("at2"), F.col("below").alias("below2"))
+            before = F.col("at2").isNotNull() & (F.col("at").isNull() | (F.col("at2") < F.col("at")))
+            ways = materialize(ways.drop("changed").join(upper, "up", "left").select(
+                "node", "src", F.col("up2").alias("up"), F.concat("way2", "way").alias("way"), F.when(before, F.col("at2")).otherwise(F.col("at")).alias("at"),
+                F.when(before, F.concat("below2", "way")).otherwise(F.col("below")).alias("below"), F.coalesce(before, F.lit(False)).alias("changed"),
+            ))
+            if ways.where("changed").isEmpty():  # a way of each length up to the longest changes in its round
+                break
+        found = ways.where("at is not null")
+        if most is not None:
+            found = found.where(F.size("below") <= 2 * most)
+        return found.select(
+            F.lit(type_name).alias("type"), F.col("node").alias("id"), F.lit(type_name).alias("parent_type"), F.col("src").alias("parent_id"),
+            F.lit(s.edge).alias("edge"), F.concat(F.array("at"), "below").alias("__path"),
+        )
+
+    def _leveled(self, starts: DataFrame, own: list[tuple[str, Selection]], after: list[list[tuple[int, int]]], level: int, most: int | None) -> DataFrame:
+        """Rows below starts level by level.  own: the selections that rows can
+        stand for; after: what follows each, with its rank."""
+        schema, spark = self.graph.schema, self.graph.spark
+        steps = [self._steps(t, x) for t, x in own]
+        fields = ["type", "id", "parent_type", "parent_id", "edge", "depth", "__hidden", "__state", "__path"]
+
+        def follow(rows: DataFrame, k: int, rank: int) -> DataFrame:
+            type_name, x = own[k]
+            if self.expansion.depth is not None and not x.virtual:
+                rows = rows.where(F.col("depth") + 1 <= self.expansion.depth)
+            hidden = F.col("__hidden")
+            return rows.join(steps[k], F.col("id") == F.col("src")).select(
+                F.lit(schema.edge(type_name, x.edge).target).alias("type"), F.col("dst").alias("id"),
+                F.when(hidden, F.col("parent_type")).otherwise(F.col("type")).alias("parent_type"), F.when(hidden, F.col("parent_id")).otherwise(F.col("id")).alias("parent_id"),
+                F.when(hidden, F.col("edge")).otherwise(F.lit(x.edge)).alias("edge"), (F.col("depth") + (0 if x.virtual else 1)).cast("int").alias("depth"),
+                F.lit(x.virtual).alias("__hidden"), F.lit(k).alias("__state"), F.concat("__path", F.array(F.lit(rank).cast("long"), F.col("pos"))).alias("__path"),
+            )
+
+        base, written = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}", []
+        best = F.min(F.struct("__path", *(c for c in fields if c not in ("__path", "__state", "id")))).alias("best")
+        # a start that is reached again stands at its own place, if that is before
+        first = starts.groupBy(F.col("type").alias("t"), F.col("id").alias("i")).agg(F.min("__start").alias("p"))
+
+        def place(rows: DataFrame) -> DataFrame:
+            rows = rows.join(first, (F.col("type") == F.col("t")) & (F.col("id") == F.col("i")) & (F.col("p") <= F.element_at("__path", 1)), "left_anti")
+            return rows.groupBy("__state", "id").agg(best).select("__state", "id", "best.*").select(fields)
+
+        at = starts.withColumn("__path", F.array("__start"))
+        reached = place(follow(at, 0, 1))
+        if self.query.virtual and level == 1 and not own[0][1].virtual:
+            reached = reached.withColumns({"parent_type": F.lit(None).cast("string"), "parent_id": F.lit(None).cast("long")})
+        while most is None or len(written) < most:
+            now = materialize(reached, f"{base}/{len(written)}")
+            written.append(f"{base}/{len(written)}")
+            if now.isEmpty():
+                break
+            parts = [follow(now.where(F.col("__state") == k), n, rank) for k, follows in enumerate(after) for rank, n in follows]
+            if not parts:
+                break
+            known = spark.read.schema(now.schema).parquet(*written).select(F.col("__state").alias("s"), F.col("id").alias("i"), F.col("__path").alias("p"))
+            new = place(reduce(DataFrame.unionByName, parts))
+            reached = new.join(known, (F.col("__state") == F.col("s")) & (F.col("id") == F.col("i")) & (F.col("p") <= F.col("__path")), "left_anti")
+        keep_until_exit(spark, base)
+        return place(spark.read.schema(reached.schema).parquet(*written)).where(~F.col("__hidden")) if written else place(reached.limit(0))
+
     # ------------------------------------------------------------- reading
 
+    def _sorted(self) -> list[tuple[str, Column]]:
+        names = sorted(self._keys, key=lambda n: self._keys[n][:3])
+        return [(n, sort_column(n, self._keys[n][3])) for n in names]
+
     def order(self) -> list[Column]:
         """The depth-first order of rows()."""
-        names = sorted(self._keys, key=lambda n: self._keys[n][:3])
-        return [sort_column(n, self._keys[n][3]) for n in names]
+        return [c for _, c in self._sorted()]
 
     def rows(self) -> DataFrame:
         """BASE columns and the order's."""
-        parts = [p.drop("__trail") for p in self._parts]
+        parts = self._parts
         if not parts:
             return self.graph.spark.createDataFrame([], "type string, id long, parent_type string, parent_id long, edge string, depth int")
         out = parts[0]
@@ -216,10 +346,40 @@ class Forest:
         with_edges = [t.name for t in self.graph.schema.types.values() if t.edges]
         return F.col("type").isin(with_edges) if with_edges else F.lit(False)
 
+    def _before(self, row: dict, kinds: dict) -> Column:
+        """Whether a row sorts before the one of the given key values."""
+        out, equal = F.lit(False), F.lit(True)
+        for name in sorted(self._keys, key=lambda n: self._keys[n][:3]):
+            c, value, kind = F.col(name), row[name], kinds[name]
+            if value is None:
+                less = c.isNotNull() if self._keys[name][3] else F.lit(False)
+                same = c.isNull()
+            else:
+                v = F.array(*(F.lit(x).cast("long") for x in value)) if isinstance(value, list) else F.lit(value).cast(kind)
+                less = F.coalesce(c > v, F.lit(False)) if self._keys[name][3] else c.isNull() | (c < v)
+                same = c.eqNullSafe(v)
+            out, equal = out | (equal & less), equal & same
+        return out
+
     def index_of(self, type_name: str, node_id: int) -> int | None:
-        """The node's place, by counting what sorts before it."""
-        found = self.positions().where((F.col("type") == type_name) & (F.col("id") == node_id)).select("pos").first()
-        return None if found is None else found["pos"]
+        """The node's place: its key is looked up and what sorts before is counted."""
+        rows = self.rows()
+        kinds = {f.name: f.dataType for f in rows.schema}
+        plain = lambda n: F.col(n) if kinds[n].typeName() == "array" else F.col(n).cast("string").alias(n)
+        found = rows.where((F.col("type") == type_name) & (F.col("id") == node_id)).select(*map(plain, self._keys)).first()
+        return None if found is None else rows.where(self._before(found.asDict(), kinds)).count()
+
+    def id_at(self, root_id: int, steps: Sequence[tuple[str, int]]) -> tuple[str, int] | None:
+        """(type, id) at a path: a shown root, then for each step the child of
+        that number, from 0, under an edge; None where there is none."""
+        rows = materialize(self.rows()) if steps else self.rows()
+        at = rows.where((F.col("type") == self.query.root) & (F.col("id") == root_id) & F.col("edge").isNull()).select("type", "id").first()
+        for edge, index in steps:
+            if at is None or index < 0:
+                return None
+            own = rows.where((F.col("parent_type") == at["type"]) & (F.col("parent_id") == at["id"]) & (F.col("edge") == edge))
+            at = own.orderBy(*self.order()).offset(index).limit(1).select("type", "id").first()
+        return None if at is None else (at["type"], at["id"])
 
     def with_properties(self, df: DataFrame) -> DataFrame:
         """df with `properties`: each row's declared properties and rollups as JSON."""
@@ -351,13 +511,24 @@ class View:
     def index_of(self, type_name: str, node_id: int) -> int | None:
         return self._forest().index_of(type_name, node_id)
 
+    def node_at_path(self, root_id: int, *steps: tuple[str, int]) -> tuple[str, int] | None:
+        """(type, id) of what stands at a root's id and (edge, number) steps."""
+        return self._forest().id_at(root_id, steps)
+
+    def path_to_index(self, root_id: int, *steps: tuple[str, int]) -> int | None:
+        """The place in the view of what stands at a path."""
+        forest = self._forest()
+        found = forest.id_at(root_id, steps)
+        return None if found is None else forest.index_of(*found)
+
+    def visible_count(self) -> int:
+        """How many rows the viewport shows."""
+        left = max(0, self.total() - self.offset)
+        return min(self.height, left) if self.height else left
+
     def stats(self) -> dict:
         return {"total": self.total(), "offset": self.offset, "limit": self.height, "expanded": len(self.expansion.triples), "all": self.expansion.all}
 
 
 def clamp_offset(total: int, offset: int, height: int) -> int:
     return min(max(0, offset), max(0, total - height))
-
-
-def edges_of(schema: Schema, type_name: str) -> list[str]:
-    return sorted(schema[type_name].edges)

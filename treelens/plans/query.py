@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from typing import Any
 
 from ..functions.predicates import OPS, tag_of_literal
-from ..schema import Edge, Schema, Sort, parse_sort
+from ..schema import Schema, Sort, parse_sort
 
 
 class QueryError(ValueError):
@@ -173,12 +173,3 @@ def analyze(schema: Schema, q: Query) -> Query:
 def fields_of(filters: Sequence[Filter], sorts: Sequence[Sort]) -> set[str]:
     """Names of the type's own fields that filters and sorts read."""
     return {f.field for f in filters if "." not in f.field} | {s.field for s in sorts}
-
-
-def target_type(schema: Schema, type_name: str, selection: Selection) -> tuple[Edge, str]:
-    edge = schema.edge(type_name, selection.edge)
-    return edge, edge.target
-
-
-def without_children(selection: Selection) -> Selection:
-    return replace(selection, selections=(), recursive=False)

@@ -33,12 +33,37 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    """Delete what is under path when the process ends."""
+    _written.append((spark, path))
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the session sees them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def folders(spark: SparkSession, path: str, done: bool = False) -> list[str]:
+    """Names of the folders in a folder; done: of completely written ones."""
+    fs, p = _files(spark, path)
+    if not fs.exists(p):
+        return []
+    found = [s.getPath() for s in fs.listStatus(p) if s.isDirectory()]
+    child = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return [f.getName() for f in found if not done or fs.exists(child(f, "_SUCCESS"))]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _files(spark, path)
+    fs.delete(p, True)
+
+
 def drop_materialized() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            delete_path(spark, path)
         except Exception:  # the session has ended
             pass
 
