@@ -182,10 +182,11 @@ def test_substrings_of_awkward_documents(spark):
     assert substring.remove_repeats(docs(spark, [])).count() == 0
 
 
-def test_substrings_of_random_documents_and_small_buckets(spark):
+@pytest.mark.parametrize(("bucket", "fanout"), [(50, substring.FANOUT), (50, 3), (400, 2), (10**6, 1)])
+def test_substrings_of_random_documents_and_small_buckets(spark, bucket, fanout):
     rnd = random.Random(8)
     rows = [(i if rnd.random() > 0.1 else rnd.randrange(30), " ".join(rnd.choice("abc") for _ in range(rnd.randint(0, 25))), None, None) for i in range(120)]
-    got = substring.remove_repeats(docs(spark, rows, 5), width=4, bucket=50).collect()
+    got = substring.remove_repeats(docs(spark, rows, 5), width=4, bucket=bucket, fanout=fanout).collect()
     assert sorted((key(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_substrings(rows, 4)
 
 

@@ -17,6 +17,13 @@ Layout, for scale:
    entries that have a smaller document elsewhere: one bit an entry, sent back.
 4. Packs and their bits meet by pack; windows are hashed again and removed.
 
+A pack makes at most FANOUT cells, so that cells stay thick however many buckets
+there are.  Beyond FANOUT buckets entries take two exchanges: cells of FANOUT
+coarse ranges of hashes meet by range and group of packs, as many as make a
+bucket's size; there each hash is combined to one entry, with the smallest
+document of the group, and the entries go on to the buckets, as cells that stand
+for a group; bits come back the same way.
+
 64-bit hashes are taken as equality: with n different windows the chance that
 any two of them collide is below n**2 / 2**65.
 
@@ -44,6 +51,7 @@ from .common import SPACES, Words, coverage, free_names, materialize, merged, na
 
 WIDTH = 13
 BUCKET = 2_000_000
+FANOUT = 1024
 
 
 # ------------------------------------------------------------ binary columns
@@ -112,55 +120,130 @@ class _Pack:
         self.smallest = self.ids[self.doc[first]]
 
     def cuts(self, buckets: int) -> np.ndarray:
-        """Where the entries of each bucket begin: buckets are ranges of hashes."""
-        bounds = [-(-(b << 64) // buckets) for b in range(1, buckets)]
-        return np.concatenate(([0], np.searchsorted(self.hash, np.array(bounds, np.uint64)), [len(self.hash)])).astype(np.int64)
+        return cuts(self.hash, 0, buckets, buckets)
+
+
+def cuts(hashes: np.ndarray, first: int, n: int, buckets: int) -> np.ndarray:
+    """Where the entries of the n buckets from the first on begin in their sorted
+    hashes, and the end; buckets are ranges of hashes."""
+    bounds = [-(-(b << 64) // buckets) for b in range(first + 1, first + n)]
+    return np.concatenate(([0], np.searchsorted(hashes, np.array(bounds, np.uint64)), [len(hashes)])).astype(np.int64)
 
 
 # ------------------------------------------------------------- 2. and 3. cells
 
+CELL = "bucket long, pack long, hashes binary, base long, small boolean, offsets binary"
+
+
+def _cells_of(hashes: np.ndarray, ids: np.ndarray, cut: np.ndarray, first: int, pack: int) -> pd.DataFrame:
+    """Sorted hashes and the document of each as a cell for each bucket."""
+    out = []
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        own = ids[cut[b] : cut[b + 1]]
+        base = int(own.min())
+        offset = (own - base).view(np.uint64)
+        small = int(offset.max()) < 1 << 32
+        out.append((first + b, pack, sorted_bytes(hashes[cut[b] : cut[b + 1]]), base, small, squeeze(offset.astype(np.uint32) if small else offset)))
+    return pd.DataFrame(out, columns=["bucket", "pack", "hashes", "base", "small", "offsets"])
+
 
 def _cells(width: int, buckets: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 pack = _Pack(row.ids, row.n_known, row.blob, width)
-                cut = pack.cuts(buckets)
-                full = np.flatnonzero(np.diff(cut))
-                out = []
-                for b in full.tolist():
-                    span = slice(cut[b], cut[b + 1])
-                    ids = pack.smallest[span]
-                    base = int(ids.min())
-                    offset = (ids - base).view(np.uint64)
-                    small = int(offset.max()) < 1 << 32
-                    out.append((b, row.pack, sorted_bytes(pack.hash[span]), base, small, squeeze(offset.astype(np.uint32) if small else offset)))
-                yield pd.DataFrame(out, columns=["bucket", "pack", "hashes", "base", "small", "offsets"])
+                yield _cells_of(pack.hash, pack.smallest, pack.cuts(buckets), 0, row.pack)
+
+    return run
+
+
+class _Bucket:
+    """The entries of several cells: `owner`, the document of each; `group`, its
+    hash among the different ones in `hash`; `least`, the smallest of each."""
+
+    def __init__(self, cells: pd.DataFrame):
+        hashes = [sorted_back(h) for h in cells["hashes"]]
+        ids = [unsqueeze(o, np.uint32 if s else np.uint64).astype(np.int64) + b for o, s, b in zip(cells["offsets"], cells["small"], cells["base"], strict=True)]
+        self.pack, self.bucket, self.size = cells["pack"], cells["bucket"], [len(h) for h in hashes]
+        every, self.owner = np.concatenate(hashes), np.concatenate(ids)
+        order = np.argsort(every)
+        ranked = every[order]
+        new = np.append(True, ranked[1:] != ranked[:-1])
+        self.hash = ranked[new]
+        self.least = np.minimum.reduceat(self.owner[order], np.flatnonzero(new))
+        self.group = np.empty(len(every), np.int64)
+        self.group[order] = np.cumsum(new) - 1
+
+    def marks(self, elsewhere: np.ndarray | None = None) -> pd.DataFrame:
+        """Bits of the entries that have a smaller document here, or elsewhere (a
+        mark for each hash); cells without any are left out."""
+        smaller = self.least[self.group] < self.owner
+        if elsewhere is not None:
+            smaller |= elsewhere[self.group]
+        parts = np.split(smaller, np.cumsum(self.size)[:-1])
+        kept = [(p, b, np.packbits(m).tobytes()) for p, b, m in zip(self.pack, self.bucket, parts, strict=True) if m.any()]
+        return pd.DataFrame(kept, columns=["pack", "bucket", "bits"])
+
+
+def _each(key: str, run):
+    """run(rows) for the rows of each key in a task (a task holds whole keys)."""
+
+    def every(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [f for f in frames if len(f)]
+        if held:
+            for value, rows in pd.concat(held, ignore_index=True).groupby(key, sort=False):
+                yield run(value, rows)
+
+    return every
+
+
+def _combine(coarse: int, fine: int, groups: int):
+    """The cells of a coarse range and a group of packs (a place) as cells for
+    the fine buckets, each hash once; they stand for the place."""
+
+    def run(place: int, cells: pd.DataFrame) -> pd.DataFrame:
+        b = _Bucket(cells)
+        first = place // groups * fine
+        return _cells_of(b.hash, b.least, cuts(b.hash, first, fine, coarse * fine), first, place)
+
+    return run
+
+
+def _spread(coarse: int, fine: int, groups: int):
+    """Marks of fine buckets for the packs of a place."""
+
+    def run(cells: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        if not len(cells):
+            return pd.DataFrame({"pack": [], "bucket": [], "bits": []})
+        b = _Bucket(cells)
+        elsewhere, first = np.zeros(len(b.hash), bool), int(cells["place"].iloc[0]) // groups * fine
+        cut = cuts(b.hash, first, fine, coarse * fine)
+        for bucket, bits in zip(marks["bucket"], marks["bits"], strict=True):
+            a, z = cut[bucket - first], cut[bucket - first + 1]
+            elsewhere[a:z] = np.unpackbits(np.frombuffer(bits, np.uint8), count=z - a)
+        return b.marks(elsewhere)
 
     return run
 
 
-def _marks(cells: pd.DataFrame) -> pd.DataFrame:
-    hashes = [sorted_back(h) for h in cells["hashes"]]
-    ids = [unsqueeze(o, np.uint32 if s else np.uint64).astype(np.int64) + b for o, s, b in zip(cells["offsets"], cells["small"], cells["base"], strict=True)]
-    size = [len(h) for h in hashes]
-    every, owner = np.concatenate(hashes), np.concatenate(ids)
-    order = np.argsort(every)
-    ranked = every[order]
-    new = np.append(True, ranked[1:] != ranked[:-1])
-    least = np.minimum.reduceat(owner[order], np.flatnonzero(new))
-    smaller = np.empty(len(every), bool)
-    smaller[order] = least[np.cumsum(new) - 1] < owner[order]
-    parts = np.split(smaller, np.cumsum(size)[:-1])
-    kept = [(p, b, np.packbits(m).tobytes()) for p, b, m in zip(cells["pack"], cells["bucket"], parts, strict=True) if m.any()]
-    return pd.DataFrame(kept, columns=["pack", "bucket", "bits"])
+MARK = "pack long, bucket long, bits binary"
 
 
-def _mark_buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held = [f for f in frames if len(f)]
-    if held:
-        for _, cells in pd.concat(held, ignore_index=True).groupby("bucket", sort=False):
-            yield _marks(cells)
+def _marked(parts: DataFrame, width: int, total: int, buckets: int, bucket: int, fanout: int) -> tuple[DataFrame, int]:
+    """The marks of all packs, and for how many ranges of hashes they are."""
+    mark = _each("bucket", lambda _, cells: _Bucket(cells).marks())
+    if buckets <= fanout:
+        cells = parts.mapInPandas(_cells(width, buckets), CELL)
+        # a task for each bucket: a hash of the bucket would put several into some tasks
+        return cells.repartitionById(buckets, F.col("bucket").cast("int")).mapInPandas(mark, MARK), buckets
+    coarse, fine, groups = fanout, -(-buckets // fanout), max(1, -(-total // (fanout * bucket)))
+    place = F.col("bucket") * groups + F.pmod(F.xxhash64("pack"), F.lit(groups))
+    cells = materialize(parts.mapInPandas(_cells(width, coarse), CELL).withColumn("place", place))
+    dealt = cells.repartitionById(coarse * groups, F.col("place").cast("int"))
+    combined = dealt.mapInPandas(_each("place", _combine(coarse, fine, groups)), CELL)
+    found = combined.repartitionById(coarse * fine, F.col("bucket").cast("int")).mapInPandas(mark, MARK)
+    back = cells.groupBy("place").cogroup(found.withColumnRenamed("pack", "place").groupBy("place"))
+    return back.applyInPandas(_spread(coarse, fine, groups), MARK), coarse
 
 
 # --------------------------------------------------------------- 4. removal
@@ -202,7 +285,7 @@ def _remove(width: int, buckets: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, bucket: int = BUCKET, fanout: int = FANOUT) -> DataFrame:
     """One row a document: id, n_words, n_removed, kept (the kept words joined
     by one space) and spans (maximal removal intervals, in words)."""
     spark = docs.sparkSession
@@ -215,9 +298,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     total = packs.agg(F.sum("windows")).first()[0] or 0
     buckets = max(partitions(spark), -(-total // bucket))
     parts = packs.select("pack", "ids", "n_known", "blob")
-    cells = parts.mapInPandas(_cells(width, buckets), "bucket long, pack long, hashes binary, base long, small boolean, offsets binary")
-    # a task for each bucket: a hash of the bucket would put several into some tasks
-    dealt = cells.repartitionById(buckets, F.col("bucket").cast("int"))
-    marks = dealt.mapInPandas(_mark_buckets, "pack long, bucket long, bits binary")
-    found = parts.groupBy("pack").cogroup(marks.groupBy("pack")).applyInPandas(_remove(width, buckets), RESULT)
+    marks, ranges = _marked(parts, width, total, buckets, bucket, fanout)
+    found = parts.groupBy("pack").cogroup(marks.groupBy("pack")).applyInPandas(_remove(width, ranges), RESULT)
     return found.toDF(id_col, *free_names([id_col], *found.columns[1:]))
