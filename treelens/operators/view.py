@@ -335,8 +335,9 @@ class Forest:
         return self._finish(placed, "pos")
 
     def positions(self) -> DataFrame:
-        """flat() with pos for every row, without a single task."""
-        return self._finish(numbered(self.rows(), self.order()), "pos")
+        """flat() with pos for every row, without a single task.  Rows are written
+        first: dealing them out by ranges reads them twice."""
+        return self._finish(numbered(materialize(self.rows()), self.order()), "pos")
 
     def _finish(self, df: DataFrame, *more: str) -> DataFrame:
         return df.select(*BASE, self.has_children().alias("has_children"), *more)
