@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions.ordering import numbered, sort_keys
-from .operators.events import diff, window_state
+from .operators.events import diff, in_order, window_state
 from .operators.mutations import LOG, as_of, dangling_links, delete_nodes, watch
 from .operators.rollups import with_fields
 from .operators.select import edge_targets, filtered, linked, roots
@@ -18,14 +18,22 @@ from .operators.view import Expansion, Forest, View, clamp_offset
 from .plans.access import explain_query
 from .plans.query import Filter, analyze, parse_query, query, select
 from .schema import Sort, parse_schema
+from .sdk import Database
 from .sources.graph import Graph
 from .sources.warehouse import warehouse
+from .streaming.live import LiveView
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-NESTED = {"root": "Region", "sort": [{"field": "r_name"}], "edges": [{"name": "nations", "sort": [{"field": "n_name", "direction": "desc"}], "edges": [{"name": "customers", "sort": [{"field": "c_acctbal", "direction": "desc"}]}]}]}
+NESTED = {
+    "root": "Region", "sort": [{"field": "r_name"}],
+    "edges": [{
+        "name": "nations", "sort": [{"field": "n_name", "direction": "desc"}],
+        "edges": [{"name": "customers", "sort": [{"field": "c_acctbal", "direction": "desc"}]}],
+    }],
+}
 
 
 def entry(sql: str | None = None, name: str | None = None):
@@ -631,6 +639,70 @@ for _kind, _where in (
     ORACLE_SQL[f"events_{_kind}"] = f"WITH a AS {_WINDOW.format(T1)}, b AS {_WINDOW.format(T2)} SELECT coalesce(a.id, b.id) AS id, a.pos AS from_index, b.pos AS to_index FROM a FULL JOIN b ON a.id = b.id WHERE {_where}"
 
 
+_ALL_EVENTS = " UNION ALL ".join(
+    f"SELECT '{kind}' AS event, {rank} AS rank, coalesce(a.id, b.id) AS id, a.pos AS from_index, b.pos AS to_index FROM a FULL JOIN b ON a.id = b.id WHERE {where}"
+    for kind, rank, where in (
+        ("leave", 1, "b.id IS NULL"), ("enter", 2, "a.id IS NULL"),
+        ("change", 3, "a.id = b.id AND (a.event_type IS DISTINCT FROM b.event_type OR a.value IS DISTINCT FROM b.value)"),
+        ("move", 4, "a.id = b.id AND a.value IS DISTINCT FROM b.value AND a.pos <> b.pos"),
+    )
+)
+_WINDOWS = f"WITH a AS {_WINDOW.format(T1)}, b AS {_WINDOW.format(T2)}, e AS ({_ALL_EVENTS})"
+
+
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live view that takes in the log in two batches: the events of the second."""
+    log, first, second = _state_log(spark, sf_dir), _cut(spark, sf_dir, T1), _cut(spark, sf_dir, T2)
+    live = LiveView(_state_graph(spark), query("User", where=[("value", "gt", 20)], sort=["-value"]), lambda events, batch: None, height=30)
+    live.apply(log.where(F.col("seq") <= first), 0)
+    return live.apply(log.where((F.col("seq") > first) & (F.col("seq") <= second)), 1).select("event", "id", "from_index", "to_index")
+
+
+QUERIES["live_view"] = _live
+ORACLE_SQL["live_view"] = f"{_WINDOWS} SELECT event, id, from_index, to_index FROM e"
+
+
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in the order in which a viewer applies them (as many as the window allows)."""
+    q = query("User", where=[("value", "gt", 20)], sort=["-value"])
+    log, base = _state_log(spark, sf_dir), _state_graph(spark)
+    old, new = (window_state(as_of(base, log, _cut(spark, sf_dir, t)), q, 0, 30) for t in (T1, T2))
+    rows = in_order(diff(old, new)).select("event", "id").collect()
+    return spark.createDataFrame([(n, r["event"], r["id"]) for n, r in enumerate(rows)], "n long, event string, id long")
+
+
+QUERIES["events_in_order"] = _ordered
+ORACLE_SQL["events_in_order"] = f"""{_WINDOWS} SELECT event, id, ROW_NUMBER() OVER (
+  ORDER BY rank > 1, CASE WHEN rank = 1 THEN -from_index ELSE to_index END, rank, id) - 1 AS n FROM e"""
+
+
+@entry("""SELECT o_orderkey AS id, o_orderstatus, c_name AS customer_name, (SELECT count(*) FROM lineitem WHERE l_orderkey = 42) AS item_count
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderkey = 42""")
+def sdk_get(g):
+    """An entity's properties and derived fields."""
+    order = Database(g).get("Order", 42)
+    row = (order.id(), *(getattr(order, f).get() for f in ("o_orderstatus", "customer_name", "item_count")))
+    return g.spark.createDataFrame([row], "id long, o_orderstatus string, customer_name string, item_count long")
+
+
+@entry("SELECT o_orderkey AS id, ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders WHERE o_custkey = 7")
+def sdk_edges(g):
+    """An entity's targets, one after another."""
+    rows = [(e.id(), k) for k, e in enumerate(Database(g).get("Customer", 7).orders)]
+    return g.spark.createDataFrame(rows, "id long, place long")
+
+
+@entry("""SELECT o_orderstatus, o_totalprice, CASE WHEN o_custkey = 7 THEN 'seven' ELSE c_name END AS customer_name FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT 'new', 1.5, 'seven'""")
+def sdk_writes(g):
+    """An order is inserted and linked, its customer renamed: what all orders show then."""
+    db = Database(g)
+    customer, order = db.get("Customer", 7), db.insert("Order", {"o_orderstatus": "new", "o_totalprice": 1.5})
+    customer.orders.link(order)
+    customer.update(c_name="seven")
+    return with_fields(db.graph, "Order", ["customer_name"]).select("o_orderstatus", "o_totalprice", "customer_name")
+
+
 @entry("""SELECT CAST(c_custkey AS BIGINT) AS seq, 'link' AS event, 'Nation' AS type, CAST(c_nationkey AS BIGINT) AS id, 'customers' AS edge, c_custkey AS other_id FROM customer
 UNION ALL SELECT c_custkey, 'link', 'Customer', c_custkey, 'nation', CAST(c_nationkey AS BIGINT) FROM customer""")
 def node_watch_link(g):

@@ -53,12 +53,21 @@ class Expansion:
     depth: int | None = None
 
     def frame(self, graph: Graph, type_name: str, edge: str) -> DataFrame:
-        rows = sorted((i,) for t, i, e in self.triples if (t, e) == (type_name, edge))
-        return graph.spark.createDataFrame(rows, "parent_id long")
+        return _clicked(graph, ((i,) for t, i, e in self.triples if (t, e) == (type_name, edge)), "parent_id long")
 
 
 ALL = Expansion(all=True)
 
+#: so many rows of clicks are broadcast at most
+MAX_CLICKS = 100_000
+
+
+def _clicked(graph: Graph, rows: Iterable[tuple], columns: str) -> DataFrame:
+    """A frame of what a user clicked on; broadcast while it is small."""
+    kept = sorted(set(rows))
+    df = graph.spark.createDataFrame(kept, columns)
+    return F.broadcast(df) if len(kept) <= MAX_CLICKS else df
+
 
 def _order_names(level: int, slot: str, sorts: Sequence[Sort]) -> list[tuple[str, bool]]:
     return [(f"o{level}_{slot}_{k}", s.descending) for k, s in enumerate(sorts)]
@@ -144,7 +153,7 @@ class Forest:
         parents = rows
         if not self.expansion.all:
             wanted = self.expansion.frame(graph, type_name, s.edge).withColumnRenamed("parent_id", "id")
-            parents = parents.join(F.broadcast(wanted), "id", "left_semi")  # as many rows as a user expanded
+            parents = parents.join(wanted, "id", "left_semi")
         targets = filtered(graph, edge.target, s.filters, [x.field for x in s.sorts], self.strict)
         self._note(level, slot, s.sorts)
         keys = targets.select(F.col("id").alias("__id"), *_keyed(targets, level, slot, s.sorts, rank))
@@ -216,7 +225,7 @@ class Forest:
         pairs = bound.pairs
         if not self.expansion.all:
             wanted = self.expansion.frame(graph, type_name, s.edge).withColumnRenamed("parent_id", "src")
-            pairs = pairs.join(F.broadcast(wanted), "src", "left_semi")  # as many rows as a user expanded
+            pairs = pairs.join(wanted, "src", "left_semi")
         return materialize(pairs.join(targets, "dst").select("src", "dst", "pos"))
 
     def _doubled(self, starts: DataFrame, type_name: str, s: Selection, most: int | None) -> DataFrame:
@@ -456,9 +465,8 @@ class View:
         self.expansion = Expansion(self.expansion.triples - gone, False, self.expansion.depth)
 
     def _expanded_rows(self, rows: DataFrame):
-        keys = sorted({(t, i) for t, i, _ in self.expansion.triples})
-        wanted = self.graph.spark.createDataFrame(keys, "type string, id long")
-        return rows.join(F.broadcast(wanted), ["type", "id"]).select("type", "id", "parent_type", "parent_id", "edge").collect()
+        wanted = _clicked(self.graph, ((t, i) for t, i, _ in self.expansion.triples), "type string, id long")
+        return rows.join(wanted, ["type", "id"]).select("type", "id", "parent_type", "parent_id", "edge").collect()
 
     def toggle(self, type_name: str, node_id: int, edge: str) -> bool:
         """Whether it is expanded afterwards."""
