@@ -90,5 +90,13 @@ def op10_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs.select("doc_id"), SHARDS, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_toxicity, op2_warc_revisit_resolution, op3_gear_chunked_media, op4_rabin_karp_substrings, op5_hilbert_packing, op6_fm_index_decontamination, op7_byte_cnn_quality, op8_simhash_anchor_covering, op9_ownership_secret_scan, op10_permutation_sharding)}
-ORACLE_SQL: dict[str, str] = {"op2_warc_revisit_resolution": OP2_SQL, "op4_rabin_karp_substrings": SUBSTRINGS, "op6_fm_index_decontamination": LEAKS, "op9_ownership_secret_scan": OP9_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ordinal_toxicity, op2_warc_revisit_resolution, op3_gear_chunked_media, op4_rabin_karp_substrings, op5_hilbert_packing,
+        op6_fm_index_decontamination, op7_byte_cnn_quality, op8_simhash_anchor_covering, op9_ownership_secret_scan, op10_permutation_sharding,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_revisit_resolution": OP2_SQL, "op4_rabin_karp_substrings": SUBSTRINGS, "op6_fm_index_decontamination": LEAKS, "op9_ownership_secret_scan": OP9_SQL,
+}
