@@ -58,15 +58,15 @@ class Expansion:
 
 ALL = Expansion(all=True)
 
-#: so many rows of clicks are broadcast at most
-MAX_CLICKS = 100_000
+#: so many rows of clicks or of starts of a recursion are broadcast at most
+MAX_BROADCAST = 100_000
 
 
 def _clicked(graph: Graph, rows: Iterable[tuple], columns: str) -> DataFrame:
     """A frame of what a user clicked on; broadcast while it is small."""
     kept = sorted(set(rows))
     df = graph.spark.createDataFrame(kept, columns)
-    return F.broadcast(df) if len(kept) <= MAX_CLICKS else df
+    return F.broadcast(df) if len(kept) <= MAX_BROADCAST else df
 
 
 def _order_names(level: int, slot: str, sorts: Sequence[Sort]) -> list[tuple[str, bool]]:
@@ -198,6 +198,8 @@ class Forest:
         found = self._doubled(starts, type_name, s, most) if tree else self._leveled(starts, own, after, level, most)
         kept = [c for c in rows.columns if c in self._keys]
         origin = starts.select(F.col("__start").alias("__from"), *kept, *((F.col(c).alias(f"__s_{c}") for c in ("parent_type", "parent_id", "edge", "depth", "__hidden"))))
+        if starts.count() <= MAX_BROADCAST:  # few starts: all rows may stand below one of them
+            origin = F.broadcast(origin)
         out = found.withColumn("__from", F.element_at("__path", 1)).join(origin, "__from")
         if tree:  # depths and the parents that hidden starts hand on
             first = F.size("__path") == 3
