@@ -295,8 +295,14 @@ def recursive_chain(g):
     return Forest(g, q).positions().select("id", "parent_id", "depth", "pos")
 
 
+def _one_type(name: str, properties: dict[str, str], edge: str, reverse: str) -> dict:
+    """A schema of one type with an edge to itself."""
+    ends = [{"name": edge, "target": name, "reverse": reverse}, {"name": reverse, "target": name, "reverse": edge}]
+    return {"types": [{"name": name, "properties": [{"name": n, "type": k} for n, k in properties.items()], "edges": ends[: 2 if edge != reverse else 1]}]}
+
+
 #: turns of a conversation lead to the next and to the one after
-SKIP_SCHEMA = {"types": [{"name": "Turn", "properties": [{"name": "turn", "type": "int"}], "edges": [{"name": "later", "target": "Turn", "reverse": "earlier"}, {"name": "earlier", "target": "Turn", "reverse": "later"}]}]}
+SKIP_SCHEMA = _one_type("Turn", {"turn": "int"}, "later", "earlier")
 
 
 @entry("""WITH RECURSIVE r AS (
@@ -314,7 +320,7 @@ def recursive_dag(g):
     return Forest(dag, query("Turn", select("later", sort=["-turn"], recursive=True), where=[("turn", "eq", 0)])).positions().select("id", "parent_id", "depth", "pos")
 
 
-CHAIN_SCHEMA = {"types": [{"name": "Order", "properties": [{"name": "head", "type": "bool"}], "edges": [{"name": "next", "target": "Order", "reverse": "prev"}, {"name": "prev", "target": "Order", "reverse": "next"}]}]}
+CHAIN_SCHEMA = _one_type("Order", {"head": "bool"}, "next", "prev")
 
 
 @entry("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 200 > 0 THEN o_orderkey - 1 END AS parent_id, CAST(o_orderkey % 200 AS INTEGER) AS depth,
@@ -327,7 +333,7 @@ def recursive_deep(g):
     return Forest(chain, query("Order", select("next", recursive=True), where=[("head", "eq", True)])).positions().select("id", "parent_id", "depth", "pos")
 
 
-NEIGHBOUR_SCHEMA = {"types": [{"name": "Nation", "properties": [{"name": "n_name", "type": "string"}], "edges": [{"name": "neighbours", "target": "Nation", "reverse": "neighbours"}]}]}
+NEIGHBOUR_SCHEMA = _one_type("Nation", {"n_name": "string"}, "neighbours", "neighbours")
 
 
 @entry("""WITH n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY n_regionkey ORDER BY n_name, n_nationkey) - 1 AS k, min(n_name) OVER (PARTITION BY n_regionkey) AS leader FROM nation)
@@ -581,6 +587,15 @@ def index_coverage(g):
 
 # -------------------------------------------------------- mutations and events
 
+def _log(seq, op: str, type_name: str, node, props=None, edge: str | None = None, target=None) -> list:
+    """The columns of a log row."""
+    none = F.lit(None)
+    return [
+        seq.cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(type_name).alias("type"), node.alias("id"),
+        (none if props is None else props).cast("map<string,string>").alias("props"), F.lit(edge).cast("string").alias("edge"), (none if target is None else target).cast("long").alias("target"),
+    ]
+
+
 #: the events table as a log on users: the last event sets a user's state
 STATE_SCHEMA = {"types": [{"name": "User", "properties": [{"name": "event_type", "type": "string"}, {"name": "value", "type": "number"}]}]}
 T1, T2 = 0.6, 0.8
@@ -590,11 +605,7 @@ def _state_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     props = F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("value"), F.col("value").cast("string"))
     # the numbers from 0 in order of ts are the event ids
-    log = events.select(
-        F.col("event_id").alias("seq"), F.lit("insert").alias("op"), F.lit("User").alias("type"), F.col("user_id").alias("id"), props.alias("props"),
-        F.lit(None).cast("string").alias("edge"), F.lit(None).cast("long").alias("target"),
-    )
-    return log.select(LOG.fieldNames())
+    return events.select(*_log(F.col("event_id"), "insert", "User", F.col("user_id"), props)).select(LOG.fieldNames())
 
 
 def _state_graph(spark: SparkSession) -> Graph:
@@ -717,15 +728,6 @@ def node_watch_link_all(g):
     return _watched(g, g.edges("Order", "customer").pairs)
 
 
-def _log(seq, op: str, type_name: str, node, props=None, edge: str | None = None, target=None) -> list:
-    """The columns of a log row."""
-    none = F.lit(None)
-    return [
-        seq.cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(type_name).alias("type"), node.alias("id"),
-        (none if props is None else props).cast("map<string,string>").alias("props"), F.lit(edge).cast("string").alias("edge"), (none if target is None else target).cast("long").alias("target"),
-    ]
-
-
 def _watched(g: Graph, pairs: DataFrame) -> DataFrame:
     log = pairs.select(*_log(F.col("src"), "link", "Order", F.col("src"), edge="customer", target=F.col("dst")))
     return watch(g.schema, log).select("seq", "event", "type", "id", "edge", "other_id")
@@ -780,11 +782,9 @@ def delete_cascade(g):
 @entry("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS customer_id FROM orders WHERE o_orderkey % 11 <> 0")
 def link_unlink_log(g):
     """Orders divisible by 7 lose their customer, those by 11 are deleted."""
-    orders = g.nodes("Order")
-    none = F.lit(None)
-    own = lambda op, edge, target: [F.col("id").alias("seq"), F.lit(op).alias("op"), F.lit("Order").alias("type"), "id", none.cast("map<string,string>").alias("props"), edge.cast("string").alias("edge"), target.cast("long").alias("target")]
-    pairs = g.edges("Order", "customer").pairs.where("src % 7 = 0").select(F.col("src").alias("id"), "dst")
-    log = pairs.select(*own("unlink", F.lit("customer"), F.col("dst"))).unionByName(orders.where("id % 11 = 0").select(*own("delete", none, none)))
+    pairs = g.edges("Order", "customer").pairs.where("src % 7 = 0")
+    log = pairs.select(*_log(F.col("src"), "unlink", "Order", F.col("src"), edge="customer", target=F.col("dst")))
+    log = log.unionByName(g.nodes("Order").where("id % 11 = 0").select(*_log(F.col("id"), "delete", "Order", F.col("id"))))
     after = as_of(g, log)
     left = after.edges("Order", "customer").pairs.select(F.col("src").alias("id"), F.col("dst").alias("customer_id"))
     return after.nodes("Order").select("id").join(left, "id", "left")
@@ -794,9 +794,11 @@ def link_unlink_log(g):
 def update_merge(g):
     """A later write of a property wins; null removes; others stay."""
     orders = g.nodes("Order")
-    empty = F.lit(None)
-    row = lambda seq, value: [seq.alias("seq"), F.lit("update").alias("op"), F.lit("Order").alias("type"), "id", F.create_map(F.lit("o_orderpriority"), value.cast("string")).alias("props"), empty.cast("string").alias("edge"), empty.cast("long").alias("target")]
-    first = orders.where("id % 5 < 2").select(*row(F.col("id"), F.lit("first")))
-    later = orders.where("id % 5 = 0").select(*row(F.col("id") + 10**9, F.lit("changed"))).unionByName(orders.where("id % 5 = 1").select(*row(F.col("id") + 10**9, empty)))
+
+    def written(rows: DataFrame, seq, value) -> DataFrame:
+        return rows.select(*_log(seq, "update", "Order", F.col("id"), F.create_map(F.lit("o_orderpriority"), F.lit(value).cast("string"))))
+
+    first, late = written(orders.where("id % 5 < 2"), F.col("id"), "first"), F.col("id") + 10**9
+    later = written(orders.where("id % 5 = 0"), late, "changed").unionByName(written(orders.where("id % 5 = 1"), late, None))
     return as_of(g, first.unionByName(later)).nodes("Order").select("id", "o_orderstatus", "o_orderpriority")
 
