@@ -17,12 +17,14 @@ Layout, for scale:
    entries that have a smaller document elsewhere: one bit an entry, sent back.
 4. Packs and their bits meet by pack; windows are hashed again and removed.
 
-A pack makes at most FANOUT cells, so that cells stay thick however many buckets
-there are.  Beyond FANOUT buckets entries take two exchanges: cells of FANOUT
-coarse ranges of hashes meet by range and group of packs, as many as make a
-bucket's size; there each hash is combined to one entry, with the smallest
+A pack makes at most FANOUT cells, so that cells stay thick (85 entries of some
+700,000) however many buckets there are.  Beyond FANOUT buckets (about 100 GB of
+text) entries take two exchanges: cells of coarse ranges of hashes, as many as
+the square root of the buckets, meet by range and group of packs, as many as
+make a bucket's size; there each hash is combined to one entry, with the smallest
 document of the group, and the entries go on to the buckets, as cells that stand
-for a group; bits come back the same way.
+for a group; bits come back the same way.  Per window that is one more written
+copy of its entry and one more exchange.
 
 64-bit hashes are taken as equality: with n different windows the chance that
 any two of them collide is below n**2 / 2**65.
@@ -37,6 +39,7 @@ underscore in front.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +54,7 @@ from .common import SPACES, Words, coverage, free_names, materialize, merged, na
 
 WIDTH = 13
 BUCKET = 2_000_000
-FANOUT = 1024
+FANOUT = 8192
 
 
 # ------------------------------------------------------------ binary columns
@@ -236,7 +239,8 @@ def _marked(parts: DataFrame, width: int, total: int, buckets: int, bucket: int,
         cells = parts.mapInPandas(_cells(width, buckets), CELL)
         # a task for each bucket: a hash of the bucket would put several into some tasks
         return cells.repartitionById(buckets, F.col("bucket").cast("int")).mapInPandas(mark, MARK), buckets
-    coarse, fine, groups = fanout, -(-buckets // fanout), max(1, -(-total // (fanout * bucket)))
+    coarse = math.isqrt(buckets - 1) + 1
+    fine, groups = -(-buckets // coarse), max(1, -(-total // (coarse * bucket)))
     place = F.col("bucket") * groups + F.pmod(F.xxhash64("pack"), F.lit(groups))
     cells = materialize(parts.mapInPandas(_cells(width, coarse), CELL).withColumn("place", place))
     dealt = cells.repartitionById(coarse * groups, F.col("place").cast("int"))
