@@ -43,7 +43,7 @@ READ = CHUNK + WIDTH - STRIDE
 MAX_ROWS = 2000
 MAX_BYTES = 16 << 20
 EPOCHS = 14
-MAX_STEPS = 2500
+MAX_STEPS = 1000
 BATCH = 256
 SEED = 11
 #: chunks that are scored at once
