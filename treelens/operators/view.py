@@ -360,8 +360,8 @@ class Forest:
 
     def _before(self, row: dict, kinds: dict) -> Column:
         """Whether a row sorts before the one of the given key values."""
-        out, equal = F.lit(False), F.lit(True)
-        for name in sorted(self._keys, key=lambda n: self._keys[n][:3]):
+        out = F.lit(False)
+        for name in sorted(self._keys, key=lambda n: self._keys[n][:3], reverse=True):
             c, value, kind = F.col(name), row[name], kinds[name]
             if value is None:
                 less = c.isNotNull() if self._keys[name][3] else F.lit(False)
@@ -370,7 +370,7 @@ class Forest:
                 v = F.array(*(F.lit(x).cast("long") for x in value)) if isinstance(value, list) else F.lit(value).cast(kind)
                 less = F.coalesce(c > v, F.lit(False)) if self._keys[name][3] else c.isNull() | (c < v)
                 same = c.eqNullSafe(v)
-            out, equal = out | (equal & less), equal & same
+            out = less | (same & out)
         return out
 
     def index_of(self, type_name: str, node_id: int) -> int | None:
