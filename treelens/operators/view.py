@@ -237,22 +237,24 @@ class Forest:
         first = starts.groupBy(F.col("id").alias("src")).agg(F.min("__start").alias("at"))
         steps = self._steps(type_name, s).join(first, "src", "left")
         way = F.array(F.lit(1).cast("long"), F.col("pos"))
-        ways = materialize(steps.select(F.col("dst").alias("node"), "src", F.col("src").alias("up"), way.alias("way"), "at", F.when(F.col("at").isNotNull(), way).alias("below")))
+        # way: down from `up`, or from the top where that is null; what stands below
+        # the first start `at` is the last `below` values of it
+        ways = materialize(steps.select(F.col("dst").alias("node"), "src", F.col("src").alias("up"), way.alias("way"), "at", F.when(F.col("at").isNotNull(), 2).alias("below")))
         while True:
             upper = ways.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("way").alias("way2"), F.col("at").alias("at2"), F.col("below").alias("below2"))
             before = F.col("at2").isNotNull() & (F.col("at").isNull() | (F.col("at2") < F.col("at")))
             ways = materialize(ways.drop("changed").join(upper, "up", "left").select(
-                "node", "src", F.col("up2").alias("up"), F.concat("way2", "way").alias("way"), F.when(before, F.col("at2")).otherwise(F.col("at")).alias("at"),
-                F.when(before, F.concat("below2", "way")).otherwise(F.col("below")).alias("below"), F.coalesce(before, F.lit(False)).alias("changed"),
+                "node", "src", F.col("up2").alias("up"), F.coalesce(F.concat("way2", "way"), "way").alias("way"), F.when(before, F.col("at2")).otherwise(F.col("at")).alias("at"),
+                F.when(before, F.col("below2") + F.size("way")).otherwise(F.col("below")).alias("below"), F.coalesce(before, F.lit(False)).alias("changed"),
             ))
             if ways.where("changed").isEmpty():  # a way of each length up to the longest changes in its round
                 break
         found = ways.where("at is not null")
         if most is not None:
-            found = found.where(F.size("below") <= 2 * most)
+            found = found.where(F.col("below") <= 2 * most)
         return found.select(
             F.lit(type_name).alias("type"), F.col("node").alias("id"), F.lit(type_name).alias("parent_type"), F.col("src").alias("parent_id"),
-            F.lit(s.edge).alias("edge"), F.concat(F.array("at"), "below").alias("__path"),
+            F.lit(s.edge).alias("edge"), F.concat(F.array("at"), F.slice("way", -F.col("below"), F.col("below"))).alias("__path"),
         )
 
     def _leveled(self, starts: DataFrame, own: list[tuple[str, Selection]], after: list[list[tuple[int, int]]], level: int, most: int | None) -> DataFrame:
