@@ -20,7 +20,10 @@ keeps one place a node while it goes on: a level's rows continue only where they
 are new or come before the place known so far.  So a graph of many paths costs
 its edges a level, not its paths, and cycles end by themselves; there is no cap
 on levels.  An edge whose targets have one source each (a tree or a chain) is
-followed by doubling: levels in rounds of their logarithm."""
+followed by doubling: levels in rounds of their logarithm.  Its arrays hold no
+pair a level: only how many only children follow each other, then a place where
+ways part, in turn.  So they grow with the forks above a row, not with its depth,
+and stay of one size along a chain."""
 
 from __future__ import annotations
 
@@ -195,17 +198,17 @@ class Forest:
         own, after = _states(schema, type_name, s)
         target = schema.edge(type_name, s.edge).target
         tree = type_name == target and not s.selections and not s.virtual and self.graph.edges(type_name, s.edge).one_source
-        found = self._doubled(starts, type_name, s, most) if tree else self._leveled(starts, own, after, level, most)
+        found = self._doubled(starts, type_name, s, most) if tree else self._leveled(starts, own, after, level, most).withColumn("__from", F.element_at("__path", 1))
         kept = [c for c in rows.columns if c in self._keys]
         origin = starts.select(F.col("__start").alias("__from"), *kept, *((F.col(c).alias(f"__s_{c}") for c in ("parent_type", "parent_id", "edge", "depth", "__hidden"))))
         if starts.count() <= MAX_BROADCAST:  # few starts: all rows may stand below one of them
             origin = F.broadcast(origin)
-        out = found.withColumn("__from", F.element_at("__path", 1)).join(origin, "__from")
+        out = found.join(origin, "__from")
         if tree:  # depths and the parents that hidden starts hand on
-            first = F.size("__path") == 3
+            first = F.col("__steps") == 1
             for c in ("parent_type", "parent_id", "edge"):
                 out = out.withColumn(c, F.when(first & F.col("__s___hidden"), F.col(f"__s_{c}")).otherwise(F.col(c)))
-            out = out.withColumn("depth", (F.col("__s_depth") + (F.size("__path") - 1) / 2).cast("int"))
+            out = out.withColumn("depth", (F.col("__s_depth") + F.col("__steps")).cast("int"))
             if self.query.virtual and level == 1:
                 out = out.withColumns({c: F.when(~first, F.col(c)) for c in ("parent_type", "parent_id")})
             if self.expansion.depth is not None:
@@ -228,33 +231,55 @@ class Forest:
         if not self.expansion.all:
             wanted = self.expansion.frame(graph, type_name, s.edge).withColumnRenamed("parent_id", "src")
             pairs = pairs.join(wanted, "src", "left_semi")
-        return materialize(pairs.join(targets, "dst").select("src", "dst", "pos"))
+        # both are as large as their tables: files that pack well must not pass for small ones
+        return materialize(pairs.join(targets.hint("merge"), "dst").select("src", "dst", "pos"))
 
     def _doubled(self, starts: DataFrame, type_name: str, s: Selection, most: int | None) -> DataFrame:
         """Rows below starts along an edge of one source.  A node knows the way
-        down from an ancestor and the first of the starts on it; each round it
-        takes in what that ancestor knows, so that ways double."""
+        down from an ancestor and from the first of the starts on it; each round
+        it takes in what that ancestor knows, so that ways double.  Nodes that
+        know their way from the top rest, and only serve those below them."""
+        steps = self._steps(type_name, s)
+        if self.graph.edges(type_name, s.edge).one_target:  # chains: a way is a number of steps
+            one, longer, path, count = F.lit(1), lambda a, b: a + b, F.array("at", F.col("down").cast("long")), F.col("down")
+        else:  # steps to only children, then a place at a fork, and so on
+            forks = steps.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("src", F.lit(True).alias("fork"))
+            steps = steps.join(forks, "src", "left")
+            zero = F.lit(0).cast("long")
+            one = F.when(F.col("fork"), F.array(zero, F.col("pos"), zero)).otherwise(F.array(zero + 1))
+            longer = lambda a, b: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.element_at(a, -1) + F.element_at(b, 1)), F.slice(b, 2, F.size(b)))
+            path = F.concat(F.array("at"), "down")
+            count = F.aggregate(F.filter("down", lambda _, k: k % 2 == 0), zero, lambda a, b: a + b) + F.floor(F.size("down") / 2)
         first = starts.groupBy(F.col("id").alias("src")).agg(F.min("__start").alias("at"))
-        steps = self._steps(type_name, s).join(first, "src", "left")
-        way = F.array(F.lit(1).cast("long"), F.col("pos"))
-        # way: down from `up`, or from the top where that is null; what stands below
-        # the first start `at` is the last `below` values of it
-        ways = materialize(steps.select(F.col("dst").alias("node"), "src", F.col("src").alias("up"), way.alias("way"), "at", F.when(F.col("at").isNotNull(), 2).alias("below")))
-        while True:
-            upper = ways.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("way").alias("way2"), F.col("at").alias("at2"), F.col("below").alias("below2"))
-            before = F.col("at2").isNotNull() & (F.col("at").isNull() | (F.col("at2") < F.col("at")))
-            ways = materialize(ways.drop("changed").join(upper, "up", "left").select(
-                "node", "src", F.col("up2").alias("up"), F.coalesce(F.concat("way2", "way"), "way").alias("way"), F.when(before, F.col("at2")).otherwise(F.col("at")).alias("at"),
-                F.when(before, F.col("below2") + F.size("way")).otherwise(F.col("below")).alias("below"), F.coalesce(before, F.lit(False)).alias("changed"),
-            ))
-            if ways.where("changed").isEmpty():  # a way of each length up to the longest changes in its round
+        # way: down from `up`, which is null at the top; down: from the first start `at`
+        ways = steps.join(first, "src", "left").select(
+            F.col("dst").alias("node"), "src", F.col("src").alias("up"), one.alias("way"), "at", F.when(F.col("at").isNotNull(), one).alias("down"), F.lit(True).alias("going"), F.lit(True).alias("changed")
+        )
+        base, written = f"{shared_dir(self.graph.spark)}/ways-{uuid.uuid4().hex}", []
+        keep_until_exit(self.graph.spark, base)
+        while True:  # a row is written again only while it goes on
+            path_now = f"{base}/{len(written)}"
+            now = materialize(ways.withColumn("round", F.lit(len(written))), path_now)
+            written.append(path_now)
+            known = self.graph.spark.read.schema(now.schema).parquet(*written)
+            last = F.col("round") == len(written) - 1
+            left = now.agg(F.max("changed").alias("changed"), F.max("going").alias("going")).first()
+            if not left["changed"] or not left["going"]:  # a way of each length up to the longest changes in its round
                 break
-        found = ways.where("at is not null")
+            upper = known.where((F.col("going") & last) | (~F.col("going") & F.col("at").isNotNull())).select(
+                F.col("node").alias("up"), F.col("up").alias("up2"), F.col("way").alias("way2"), F.col("at").alias("at2"), F.col("down").alias("down2")
+            )
+            before = F.col("at2").isNotNull() & (F.col("at").isNull() | (F.col("at2") < F.col("at")))
+            ways = now.where("going").join(upper.hint("merge"), "up", "left").select(
+                "node", "src", F.col("up2").alias("up"), F.when(F.col("up2").isNotNull(), longer(F.col("way2"), F.col("way"))).alias("way"), F.when(before, F.col("at2")).otherwise(F.col("at")).alias("at"),
+                F.when(before, longer(F.col("down2"), F.col("way"))).otherwise(F.col("down")).alias("down"), F.col("up2").isNotNull().alias("going"), F.coalesce(before, F.lit(False)).alias("changed"),
+            )
+        found = known.where(F.col("at").isNotNull() & (~F.col("going") | last)).withColumn("__steps", count.cast("long"))
         if most is not None:
-            found = found.where(F.col("below") <= 2 * most)
+            found = found.where(F.col("__steps") <= most)
         return found.select(
             F.lit(type_name).alias("type"), F.col("node").alias("id"), F.lit(type_name).alias("parent_type"), F.col("src").alias("parent_id"),
-            F.lit(s.edge).alias("edge"), F.concat(F.array("at"), F.slice("way", -F.col("below"), F.col("below"))).alias("__path"),
+            F.lit(s.edge).alias("edge"), path.alias("__path"), F.col("at").alias("__from"), "__steps",
         )
 
     def _leveled(self, starts: DataFrame, own: list[tuple[str, Selection]], after: list[list[tuple[int, int]]], level: int, most: int | None) -> DataFrame:
