@@ -55,6 +55,10 @@ class Expansion:
     all: bool = False
     depth: int | None = None
 
+    @property
+    def few(self) -> bool:
+        return not self.all and len(self.triples) <= MAX_BROADCAST
+
     def frame(self, graph: Graph, type_name: str, edge: str) -> DataFrame:
         return _clicked(graph, ((i,) for t, i, e in self.triples if (t, e) == (type_name, edge)), "parent_id long")
 
@@ -110,6 +114,7 @@ class Forest:
         self._keys: dict[str, tuple[int, int, str, bool]] = {}
         self._types: list[str] = []
         self._repeats = False
+        self._written: DataFrame | None = None
         self._build()
 
     # ------------------------------------------------------------ building
@@ -168,7 +173,10 @@ class Forest:
             (F.col("__hidden") if "__hidden" in parents.columns else F.lit(False)).alias("__hidden"),
             *(c for c in parents.columns if c in self._keys),
         )
-        joined = seen.join(pairs, "id").join(keys, "__id")
+        # edges and targets are as large as their tables, and a file that packs well would
+        # pass for a small one: only parents that were clicked on, once each, are broadcast
+        near = F.broadcast(seen).join(pairs, "id") if self.expansion.few and not self._repeats else seen.join(pairs.hint("merge"), "id")
+        joined = near.join(keys.hint("merge"), "__id")
         if not bound.one_source or edge.target in self._types:
             self._repeats = True
         hidden = F.col("__hidden")
@@ -402,7 +410,7 @@ class Forest:
 
     def index_of(self, type_name: str, node_id: int) -> int | None:
         """The node's place: its key is looked up and what sorts before is counted."""
-        rows = self.rows()
+        rows = self.rows() if self._written is None else self._written
         kinds = {f.name: f.dataType for f in rows.schema}
         plain = lambda n: F.col(n) if kinds[n].typeName() == "array" else F.col(n).cast("string").alias(n)
         found = rows.where((F.col("type") == type_name) & (F.col("id") == node_id)).select(*map(plain, self._keys)).first()
@@ -410,8 +418,11 @@ class Forest:
 
     def id_at(self, root_id: int, steps: Sequence[tuple[str, int]]) -> tuple[str, int] | None:
         """(type, id) at a path: a shown root, then for each step the child of
-        that number, from 0, under an edge; None where there is none."""
-        rows = materialize(self.rows()) if steps else self.rows()
+        that number, from 0, under an edge; None where there is none.  Rows that
+        were written for it serve what is asked for next."""
+        if steps and self._written is None:
+            self._written = materialize(self.rows())
+        rows = self.rows() if self._written is None else self._written
         at = rows.where((F.col("type") == self.query.root) & (F.col("id") == root_id) & F.col("edge").isNull()).select("type", "id").first()
         for edge, index in steps:
             if at is None or index < 0:
